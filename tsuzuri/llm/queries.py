@@ -46,8 +46,26 @@ def op5_shard_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(C.documents(spark, sf_dir), 40)
 
 
+def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_copies(C.documents(spark, sf_dir), 4, 4)
+
+
+def op8_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import debruijn
+
+    return debruijn.dedup(C.documents(spark, sf_dir))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_array
+
+    return suffix_array.dedup(C.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_skip_chain_crf, op2_secret_token_efficiency, op3_quality_line_frequency, op4_bpe_rank_bitmap, op5_shard_feistel)}
+    return {f.__name__: f for f in (op1_pii_skip_chain_crf, op2_secret_token_efficiency, op3_quality_line_frequency, op4_bpe_rank_bitmap, op5_shard_feistel, op7_simhash_pigeonhole, op8_de_bruijn_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
