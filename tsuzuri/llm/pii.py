@@ -228,9 +228,9 @@ def find(text: str, model: dict[str, np.ndarray]) -> tuple[list[tuple[str, int,
 
 
 def train(docs: DataFrame, sample_docs: int = 2000) -> dict[str, np.ndarray]:
-    """Fit on a bounded sample: of documents of 20,000 characters or less, the ``sample_docs`` whose hashed doc_id is least, whatever the layout."""
-    rows = C.id_text(docs).where(F.length("text") <= 20_000).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).select("text").limit(sample_docs)
-    return fit([r["text"] or "" for r in rows.collect()])
+    """Fit on a bounded sample: of documents of 20,000 characters or less, about ``sample_docs`` at most, those with the least hash of doc_id and text."""
+    rows = C.id_text(docs)
+    return fit([r["text"] or "" for r in C.hashed_sample(rows.where(F.length("text") <= 20_000), ["doc_id", "text"], rows.count(), sample_docs).select("text").collect()])
 
 
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
