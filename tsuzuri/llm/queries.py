@@ -58,6 +58,12 @@ def op8_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.dedup(C.documents(spark, sf_dir))
 
 
+def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pst
+
+    return pst.scored(C.documents(spark, sf_dir))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_array
 
@@ -65,7 +71,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_skip_chain_crf, op2_secret_token_efficiency, op3_quality_line_frequency, op4_bpe_rank_bitmap, op5_shard_feistel, op7_simhash_pigeonhole, op8_de_bruijn_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_pii_skip_chain_crf, op2_secret_token_efficiency, op3_quality_line_frequency, op4_bpe_rank_bitmap, op5_shard_feistel, op7_simhash_pigeonhole, op8_de_bruijn_dedup, op9_suffix_tree_scores, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
