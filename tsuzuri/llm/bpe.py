@@ -1,7 +1,7 @@
 """Byte-level BPE by a rank queue with a hierarchical bitmap.
 
 A pre-token's bytes form a linked list. Each adjacent pair with a merge rank puts its position in that rank's bucket.
-Three levels of 64-bit words say which buckets hold something, so find-first-set gives the least rank in three steps
+Two levels of 256-bit words say which buckets hold something, so find-first-set gives the least rank in two steps
 whatever the length. Positions leave a bucket from left to right; an entry whose pair has changed meanwhile is skipped.
 A merge costs the same in a pre-token of a million bytes as in a short one.
 
@@ -13,7 +13,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections.abc import Callable
 from heapq import heappop, heappush
+from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,59 +33,113 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Characters below this have explicit classes in the fast splitter.
+COMMON = 0x500
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """``findall`` of a pattern that uses properties of characters.
+
+    Where a text has only common characters, the properties are spelled out as classes, which the standard library's faster engine takes."""
+    import regex
+
+    whole = regex.compile(pattern).findall
+
+    def cls(prop: str) -> str:
+        member, out, i = regex.compile(prop).match, "", 0
+        while i < COMMON:
+            j = i
+            while j < COMMON and member(chr(j)):
+                j += 1
+            if j > i:
+                out += f"\\u{i:04x}-\\u{j - 1:04x}"
+            i = j + 1
+        return out
+
+    letter, number, space = cls(r"\p{L}"), cls(r"\p{N}"), cls(r"\s")
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")
+    for name, body in ((r"\p{L}", f"[{letter}]"), (r"\p{N}", f"[{number}]"), (r"\S", f"[^{space}]"), (r"\s", f"[{space}]")):
+        plain = plain.replace(name, body)
+    if "\\p" in plain or "(?i" in plain:
+        return whole
+    fast, rare = re.compile(plain).findall, re.compile(f"[^\x00-{chr(COMMON - 1)}]").search
+    return lambda text: whole(text) if rare(text) else fast(text)
+
+
+class Kept(dict):
+    """Ids of a pre-token and their decimal string; what is missing is merged, and kept if short."""
+
+    def __init__(self, merge: Callable[[bytes], list[int]]) -> None:
+        super().__init__()
+        self.merge = merge
+        self.older: dict = {}
+
+    def __missing__(self, token: str) -> tuple[tuple[int, ...], str]:
+        found = self.older.get(token)
+        if found is None:
+            ids = tuple(self.merge(token.encode()))
+            found = ids, ",".join(map(str, ids))
+        if len(token) <= KEEP_BYTES:
+            self[token] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > KEEP:
+            self.older = dict(self)
+            self.clear()
+
+
 class RankQueue:
-    """Buckets of positions by rank; push() and pop() of the least rank's leftmost position."""
+    """Buckets of positions by rank; push() and pop() of the least rank's leftmost position.
+
+    A bitmap of two levels of 256-bit words says which buckets hold something. A bucket is one position, or a heap of several."""
 
     def __init__(self, ranks: int) -> None:
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
+        self.low = [0] * (ranks // 256 + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
+            self.buckets[rank] = position
+            a = rank >> 8
+            if not self.low[a]:
+                self.top |= 1 << a
+            self.low[a] |= 1 << (rank & 255)
+        elif bucket.__class__ is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
         else:
             heappush(bucket, position)
 
-    def pop(self) -> tuple[int, int] | None:
+    def pop(self) -> tuple[int, int]:
+        """Only if ``top`` is not 0."""
         top = self.top
-        if not top:
-            return None
-        b = (top & -top).bit_length() - 1
-        mid = self.mid[b]
-        a = b << 6 | (mid & -mid).bit_length() - 1
+        a = (top & -top).bit_length() - 1
         low = self.low[a]
-        rank = a << 6 | (low & -low).bit_length() - 1
+        rank = a << 8 | (low & -low).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] = low = low & (low - 1)
-            if not low:
-                self.mid[b] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top = top & (top - 1)
-        return rank, position
+        if bucket.__class__ is not int:
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+            bucket = position
+        del self.buckets[rank]
+        self.low[a] = low = low & (low - 1)
+        if not low:
+            self.top = top & (top - 1)
+        return rank, bucket
 
 
 class Encoder:
     """Encodes and decodes by a rank file's merges; ``pattern`` cuts texts into pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        import regex
-
         self.ranks = ranks
         self.bytes_of = dict(zip(ranks.values(), ranks))
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.kept = Kept(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. A whole pre-token that has a rank is one id."""
@@ -93,6 +151,7 @@ class Encoder:
         if n == 1:
             raise KeyError(f"the vocabulary lacks the byte {piece!r}")
         queue, get = self.queue, ranks.get
+        push, pop = queue.push, queue.pop
         end = list(range(1, n + 1))  # where the part that starts at i ends
         prev = list(range(-1, n - 1))
         pair = [-1] * n  # the rank of the part at i with the next one; -1: none, or i starts no part
@@ -100,9 +159,9 @@ class Encoder:
             r = get(piece[i : i + 2], -1)
             if r >= 0:
                 pair[i] = r
-                queue.push(r, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                push(r, i)
+        while queue.top:
+            rank, i = pop()
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
@@ -113,7 +172,7 @@ class Encoder:
                 r = get(piece[i : end[e]], -1)
                 pair[i] = r
                 if r >= 0:
-                    queue.push(r, i)
+                    push(r, i)
             else:
                 pair[i] = -1
             p = prev[i]
@@ -122,27 +181,19 @@ class Encoder:
                 if r != pair[p]:
                     pair[p] = r
                     if r >= 0:
-                        queue.push(r, p)
+                        push(r, p)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
         return out
 
+    def pairs(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        self.kept.trim()
+        return list(map(self.kept.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        kept, out = self.kept, []
-        extend = out.extend
-        for token in self.split(text):
-            ids = kept.get(token)
-            if ids is None:
-                ids = self.older.get(token) or tuple(self.merge(token.encode()))
-                if len(token) <= KEEP_BYTES:
-                    if len(kept) >= KEEP:
-                        self.older, kept = kept, {}
-                        self.kept = kept
-                    kept[token] = ids
-            extend(ids)
-        return out
+        return list(chain.from_iterable(map(itemgetter(0), self.pairs(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -167,9 +218,10 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batch: pa.RecordBatch, coder: Encoder) -> pa.RecordBatch:
         n, ids_sha, back_sha = [], [], []
         for text in C.texts(batch):
-            ids = coder.encode(text)
+            pairs = coder.pairs(text)
+            ids = list(chain.from_iterable(map(itemgetter(0), pairs)))
             n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            ids_sha.append(hashlib.sha256(",".join(map(itemgetter(1), pairs)).encode()).hexdigest())
             back_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
