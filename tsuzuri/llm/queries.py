@@ -46,6 +46,12 @@ def op5_shard_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(C.documents(spark, sf_dir), 40)
 
 
+def op6_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.matches(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -71,7 +77,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_skip_chain_crf, op2_secret_token_efficiency, op3_quality_line_frequency, op4_bpe_rank_bitmap, op5_shard_feistel, op7_simhash_pigeonhole, op8_de_bruijn_dedup, op9_suffix_tree_scores, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_pii_skip_chain_crf, op2_secret_token_efficiency, op3_quality_line_frequency, op4_bpe_rank_bitmap, op5_shard_feistel, op6_greedy_string_tiling, op7_simhash_pigeonhole, op8_de_bruijn_dedup, op9_suffix_tree_scores, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
