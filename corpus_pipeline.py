@@ -1,12 +1,59 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, encoding."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, personal data, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of docs;
+where a text changes, n_chars follows it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tsuzuri.llm import bpe, common, decontam, pii, quality, simhash
+from tsuzuri.llm.queries import tokenizer_files
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    n = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", n)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without lines that too many texts of their source share."""
+    return _counted(quality.filtered(docs, "source"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least doc_id."""
+    return simhash.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return _counted(pii.redacted(docs))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of decoded bytes."""
+    return bpe.digests(docs, *tokenizer_files())
+
+
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("personal data", personal_data), ("byte-level BPE", encoding)]
 
-STAGES: list = []
+#: Fingerprint links, tiling and merges are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each result is written to the shared folder and read again."""
+    docs = common.documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
