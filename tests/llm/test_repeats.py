@@ -92,7 +92,7 @@ def test_hot_stretches_over_several_shards(spark):
     spec = suffix_array.SPEC
     occ = R.recurring(keyed, spec, within=True)
     graph = R.nodes(occ)
-    both = suffix_array.open_stretches(keyed, R.visits(occ, graph, R.paths(graph)), spec)
+    both = suffix_array.open_stretches(keyed, R.visits(occ, graph, R.paths(graph), True), spec)
     both = both.where("data is not null")
     order = ["rk", "s", "e"]
 

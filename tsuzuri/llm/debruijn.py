@@ -3,7 +3,7 @@
 The nodes of the graph are token k-grams sampled by winnowing (see ``repeats``), its edges the texts between them; repeated
 nonbranching paths are compacted by Spark joins. A document that runs along a path which also lies in a document with a smaller
 doc_id loses that stretch at once: source coordinates (document, first and last word) say which. Windows that a path does not
-settle, those of a path's first document and those over a path's ends, are compared one by one, by 128 bits of hash of their 50 words.
+settle, those over a path's ends, are compared one by one, by 96 bits of hash of their 50 words.
 
 Defined results: null or empty text has no words (digest of the empty string); a null doc_id comes before all others; rows with
 one doc_id never remove from one another; an empty table gives an empty result; other columns are ignored.
@@ -31,7 +31,7 @@ def repeated_spans(rows: DataFrame, spec: R.Spec = SPEC) -> DataFrame:
     spark = rows.sparkSession
     occ = R.recurring(rows, spec, within=False)
     graph = R.nodes(occ)
-    seen = R.visits(occ, graph, R.paths(graph))
+    seen = R.visits(occ, graph, R.paths(graph), False)
     C.release(spark)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -51,14 +51,17 @@ def repeated_spans(rows: DataFrame, spec: R.Spec = SPEC) -> DataFrame:
                     c.append(v)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["rk", "ord", "s", "e", "h1", "h2"])
+        cols = [np.concatenate(c).astype(np.int64) for c in out]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols[:5]), pa.array(cols[5].astype(np.int32))], ["rk", "ord", "s", "e", "h1", "h2"])
 
-    both = C.stored(C.arrow_map(rows.join(seen, "rk").select("doc_id", "text", "rk", "found"), run, "rk long, ord long, s long, e long, h1 long, h2 long"))
+    both = C.stored(C.arrow_map(rows.join(seen, "rk").select("doc_id", "text", "rk", "found"), run, "rk long, ord long, s long, e long, h1 long, h2 int"))
     C.release(spark)
     windows = both.where("e = 0")
     least = windows.groupBy("h1", "h2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").drop("hi")
     gone = windows.join(least, ["h1", "h2"]).where("ord > lo").select("rk", "s", (F.col("s") + spec.length).alias("e"))
-    return C.stored(both.where("e > 0").select("rk", "s", "e").union(gone).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    out = C.stored(both.where("e > 0").select("rk", "s", "e").union(gone).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    C.release(spark)
+    return out
 
 
 def covered(n: int, spans) -> np.ndarray:

@@ -21,6 +21,8 @@ from . import hashing as H
 
 _TABLE = H.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BLOCK = 1 << 19
+#: The kind of an edge, in its hash's low bits: between anchors, or at a document's begin or end.
+_KIND, _BEGIN, _INNER, _END = (np.uint64(x) for x in (3, 1, 2, 3))
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -75,11 +77,17 @@ def sample(u: np.ndarray, ends: np.ndarray, spec: Spec):
         if not len(at):
             continue
         doc = np.searchsorted(ends, at + lo, "right")
-        near = (doc[1:] == doc[:-1]) & (at[1:] - at[:-1] <= w)
-        edge = np.zeros(len(at), np.uint64)
-        i = np.flatnonzero(near)
-        edge[i] = H.span_hash(p, at[i], at[i + 1] + k)
-        enter = np.concatenate([np.zeros(1, np.uint64), edge[:-1]])
+        joined = doc[1:] == doc[:-1]
+        edge, enter = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        i = np.flatnonzero(joined & (at[1:] - at[:-1] <= w))
+        edge[i] = H.span_hash(p, at[i], at[i + 1] + k) & ~_KIND | _INNER
+        enter[i + 1] = edge[i]
+        # what lies before a document's first anchor and after its last one is an edge too
+        top, end = np.where(doc > 0, ends[doc - 1], 0) - lo, ends[doc] - lo
+        i = np.flatnonzero(np.concatenate([[True], ~joined]) & (top >= 0) & (at - top <= w))
+        enter[i] = H.span_hash(p, top[i], at[i] + k) & ~_KIND | _BEGIN
+        i = np.flatnonzero(np.concatenate([~joined, [True]]) & (end <= hi - lo) & (end - at - k <= w))
+        edge[i] = H.span_hash(p, at[i], end[i]) & ~_KIND | _END
         core = (at + lo >= a) & (at + lo < b)
         out.append((at[core] + lo, x[at[core]], edge[core], enter[core], doc[core]))
     if not out:
@@ -155,25 +163,37 @@ def paths(graph: DataFrame, rounds: int = 40) -> DataFrame:
     return at.select("a", "head", "place")
 
 
-def visits(occ: DataFrame, graph: DataFrame, path: DataFrame) -> DataFrame:
-    """(rk, found): for each document its recurring anchors as (pos, head, place, done), stored. done: an earlier occurrence of the whole path exists."""
-    node = graph.select("a", "first").join(path, "a")
-    done = (F.col("first.ord") < F.col("ord")) | ((F.col("first.rk") == F.col("rk")) & (F.col("first.pos") < F.col("pos")))
-    rows = occ.select("a", "rk", "ord", "pos").join(node, "a").select("rk", F.struct("pos", "head", "place", done.alias("done")).alias("v"))
+def visits(occ: DataFrame, graph: DataFrame, path: DataFrame, within: bool) -> DataFrame:
+    """(rk, found): for each document its recurring anchors, stored; by their path alone, ``state`` says of the windows within it:
+
+    2: found earlier (in a document with a smaller id; with ``within`` also earlier in this one). 1: found first here. 0: open (another row has the same id).
+    at_begin, at_end: the path reaches the document's begin or end in all its occurrences."""
+    node = graph.join(path, "a").select("a", "first", "head", "place", F.coalesce(F.col("into").bitwiseAND(3) == 1, F.lit(False)).alias("at_begin"), F.coalesce(F.col("out").bitwiseAND(3) == 3, F.lit(False)).alias("at_end"))
+    later = F.col("first.ord") < F.col("ord")
+    if within:
+        own = F.col("first.rk") == F.col("rk")
+        state = F.when(later | own & (F.col("first.pos") < F.col("pos")), 2).when(own, 1).otherwise(0)
+    else:
+        state = F.when(later, 2).otherwise(1)
+    rows = occ.select("a", "rk", "ord", "pos").join(node, "a").select("rk", F.struct("pos", "head", "place", state.cast("tinyint").alias("state"), "at_begin", "at_end").alias("v"))
     return C.stored(rows.groupBy("rk").agg(F.collect_set("v").alias("found")))
 
 
 def doc_windows(u: np.ndarray, found: list[dict] | pa.StructArray, spec: Spec):
-    """Of one document: spans that are copies of an earlier text as a whole, and for blocks (starts, hashes of their anchors) of open windows."""
+    """Of one document: spans that are copies of an earlier text as a whole, and for blocks (starts, hashes of their anchors) of open windows.
+
+    A window within a path's text holds an anchor of the path, so whoever else has the window has the whole path: the path's first occurrence keeps it,
+    all others lose it, and only windows over a path's ends are left to compare."""
     pos = np.asarray(found.field("pos"), np.int64)
     o = np.argsort(pos, kind="stable")
-    pos, head, place, done = pos[o], np.asarray(found.field("head"), np.int64)[o], np.asarray(found.field("place"), np.int64)[o], np.asarray(found.field("done"))[o]
+    pos, head, place, state, at_begin, at_end = (np.asarray(found.field(c))[o].astype(np.int64) for c in ("pos", "head", "place", "state", "at_begin", "at_end"))
     n, k, w, length = len(u), spec.k, spec.w, spec.length
-    cut = np.flatnonzero(~((head[1:] == head[:-1]) & (place[1:] == place[:-1] + 1) & done[1:] & done[:-1])) + 1
+    cut = np.flatnonzero(~((head[1:] == head[:-1]) & (place[1:] == place[:-1] + 1) & (state[1:] == state[:-1]))) + 1
     first, last = np.concatenate([[0], cut]).astype(int), np.concatenate([cut - 1, [len(pos) - 1]]).astype(int)
-    a, b = pos[first], pos[last] + k
-    good = done[first] & (b - a >= length)
-    spans = np.stack([a[good], b[good]], 1)
+    a, b = np.where(at_begin[first] > 0, 0, pos[first]), np.where(at_end[last] > 0, n, pos[last] + k)
+    whole = (state[first] > 0) & (b - a >= length)
+    settled = np.stack([a[whole], b[whole]], 1)
+    spans = settled[state[first][whole] == 2]
     open_: list[tuple[np.ndarray, np.ndarray]] = []
     known = np.unique(at_positions(u, pos, k))
     for s0 in range(0, n - length + 1, BLOCK):
@@ -182,7 +202,7 @@ def doc_windows(u: np.ndarray, found: list[dict] | pa.StructArray, spec: Spec):
         low = H.sliding(x, w, np.minimum)
         where = np.minimum(np.searchsorted(known, low), len(known) - 1)
         mine = known[where] == low
-        for p, q in spans[np.searchsorted(spans[:, 1], s0) : np.searchsorted(spans[:, 0], s1)].tolist():
+        for p, q in settled[np.searchsorted(settled[:, 1], s0) : np.searchsorted(settled[:, 0], s1)].tolist():
             mine[max(0, p - s0) : max(0, q - length + 1 - s0)] = False
         at = np.flatnonzero(mine)
         if len(at):

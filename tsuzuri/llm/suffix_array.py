@@ -1,8 +1,8 @@
 """Suffix-array dedup of bytes.
 
-Candidate bytes come from ``repeats``: stretches around sampled byte k-grams that recur. Stretches that repeat an earlier text as a
-whole are settled there; every other window of 100 bytes goes, with the bytes it needs, to the shard of its least k-gram hash,
-so equal windows meet. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy (prefix doubling in which only unsorted
+Candidate windows of 100 bytes come from ``repeats``: those whose least sampled k-gram recurs. Windows within a path of k-grams
+that always occur together are settled there; every other one goes, with its bytes, to the shard of its least k-gram's hash, so
+equal windows meet. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy (prefix doubling in which only unsorted
 groups are refined), takes common prefixes of neighbours by Kasai's inequality in its vectorised form (irreducible
 values by comparison, the others by counting down), and reports for each group of equal windows all but the earliest.
 
@@ -192,12 +192,14 @@ def repeated_spans(rows: DataFrame, spec: R.Spec = SPEC) -> DataFrame:
     spark = rows.sparkSession
     occ = R.recurring(rows, spec, within=True)
     graph = R.nodes(occ)
-    seen = R.visits(occ, graph, R.paths(graph))
+    seen = R.visits(occ, graph, R.paths(graph), True)
     C.release(spark)
     both = open_stretches(rows, seen, spec)
     C.release(spark)
     gone = later_windows(both.where("data is not null"), spec)
-    return C.stored(both.where("data is null").select("rk", "s", "e").union(gone).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    out = C.stored(both.where("data is null").select("rk", "s", "e").union(gone).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    C.release(spark)
+    return out
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
