@@ -57,7 +57,7 @@ def sample(u: np.ndarray, ends: np.ndarray, spec: Spec):
 
     Works in blocks with margins, so memory does not grow with a text's length."""
     k, w = spec.k, spec.w
-    margin, n = 2 * w + 2, len(u)
+    margin, n = 3 * w + 2, len(u)
     out = []
     for a in range(0, n, BLOCK):
         b = min(a + BLOCK, n)
@@ -71,12 +71,15 @@ def sample(u: np.ndarray, ends: np.ndarray, spec: Spec):
             ok[max(0, e - k + 1 - lo) : max(0, e - lo)] = False
         x[~ok] = _MAX
         sel = H.anchors(x, w) & ok
-        same = x[1:] == x[:-1]
-        sel[1:-1] &= ~(same[1:] & same[:-1])  # inside a run of one unit
         at = np.flatnonzero(sel)
         if not len(at):
             continue
         doc = np.searchsorted(ends, at + lo, "right")
+        # of a run of equal anchors, as periodic text has, the first and the last are kept
+        same = (x[at[1:]] == x[at[:-1]]) & (doc[1:] == doc[:-1]) & (at[1:] - at[:-1] <= w)
+        keep = np.ones(len(at), bool)
+        keep[1:-1] = ~(same[1:] & same[:-1])
+        at, doc = at[keep], doc[keep]
         joined = doc[1:] == doc[:-1]
         edge, enter = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         i = np.flatnonzero(joined & (at[1:] - at[:-1] <= w))
