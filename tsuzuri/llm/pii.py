@@ -92,7 +92,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
                 p = text.find(local, e)
     taken = sorted((a, b) for _, a, b in base)
     out, i, last = [], 0, -1
-    for a, b in sorted(set(found)):
+    for a, b in sorted(set(found), key=lambda s: (s[0], -s[1])):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if (i == len(taken) or taken[i][0] >= b) and a >= last:
@@ -132,8 +132,8 @@ def nodes(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, s
     return base, sorted([(a, b, k) for k, a, b in base] + [(a, b, None) for a, b in weak], key=lambda x: (x[0], x[1], x[2] or ""))
 
 
-#: Characters between neighbours in the chain; passes of the messages; damping.
-NEAR, PASSES, DAMP = 64, 12, 0.5
+#: Characters between neighbours in the chain; passes of the messages; damping; log odds against a candidate that no pattern took.
+NEAR, PASSES, DAMP, DOUBT = 64, 12, 0.5, 2.0
 
 
 def prior() -> dict[str, np.ndarray]:
@@ -190,11 +190,6 @@ def infer(model: dict[str, np.ndarray], unary: np.ndarray, chain: list[int], lin
     agree = np.where(np.eye(k, dtype=bool), skip, 0.0)
     bel = unary
     for _ in range(PASSES):
-        before = bel
-        bel = unary.copy()
-        np.add.at(bel, e + 1, right)
-        np.add.at(bel, e, left)
-        np.add.at(bel, who, down)
         if len(e):
             new_r = _norm(np.logaddexp.reduce((bel[e] - left)[:, :, None] + t[None], axis=1))
             new_l = _norm(np.logaddexp.reduce((bel[e + 1] - right)[:, None, :] + t[None], axis=2))
@@ -206,6 +201,10 @@ def infer(model: dict[str, np.ndarray], unary: np.ndarray, chain: list[int], lin
             np.add.at(tot, grp, up)
             new_down = _norm(np.logaddexp.reduce((tot[grp] - up)[:, :, None] + agree[None], axis=1))
             down = DAMP * down + (1 - DAMP) * new_down
+        before, bel = bel, unary.copy()
+        np.add.at(bel, e + 1, right)
+        np.add.at(bel, e, left)
+        np.add.at(bel, who, down)
         if np.abs(_norm(bel) - _norm(before)).max(initial=0) < 1e-4:
             break
     return _norm(bel)
@@ -217,6 +216,7 @@ def find(text: str, model: dict[str, np.ndarray]) -> tuple[list[tuple[str, int,
     if len(ns) == len(base):
         return base, base
     unary = _norm(np.array([features(text[a:b]) for a, b, _ in ns], float) @ model["unary"])
+    unary[:, 0] += DOUBT
     ids: dict[str, int] = {}
     links = [(i, ids.setdefault(key, len(ids))) for i, (a, b, k) in enumerate(ns) for key in keys(text[a:b], k)]
     for i, (_, _, k) in enumerate(ns):
@@ -265,12 +265,19 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
-    """The same table with every found span replaced in ``text``; a text without spans, or a null, stays as it is."""
+    """The same table with every found span replaced in ``text``; a text without spans, or a null, stays as it is.
+
+    What a replaced neighbour had hidden from a pattern is found and replaced in turn."""
     model, schema = train(docs, sample_docs), docs.schema
 
+    def clean(t: str | None) -> str | None:
+        while t and (spans := find(t, model)[1]):
+            t = redact(t, spans)
+        return t
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         i = batch.schema.get_field_index("text")
-        new = [t if t is None else redact(t, find(t, model)[1]) for t in batch.column(i).to_pylist()]
+        new = [clean(t) for t in batch.column(i).to_pylist()]
         return batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
 
     return C.arrow_map(docs, run, schema)
