@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -149,8 +150,6 @@ def filtered(docs: DataFrame, host: str = "source", broadcast_rows: int = 200_00
         return C.arrow_map(docs, lambda b: clean(b, lambda _, hosts: [shared.value.get(None if h is None else str(h), set()) for h in hosts]), schema)
     mine = rows.select("row_id", "host", F.explode("lines").alias("line")).join(lines.select(F.col("host").alias("h"), F.col("line").alias("l")), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).groupBy("row_id").agg(F.collect_list("line").alias("__bad"))
     of_text = rows.select("row_id", "text_hash", "host").join(mine, "row_id").groupBy("text_hash", "host").agg(F.first("__bad").alias("__bad")).select(F.col("text_hash").alias("__t"), F.col("host").alias("__h"), "__bad")
-    import pandas as pd
-
     @F.pandas_udf("long")
     def hashed(s: pd.Series) -> pd.Series:
         return pd.Series([xxhash.xxh64_intdigest((t or "").encode(), 11) - (1 << 63) for t in s], dtype="int64")
