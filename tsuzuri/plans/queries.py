@@ -346,10 +346,10 @@ def trigram_index(spark, sf):
     return search.postings(docs).groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
 
 
-@query("SELECT n_nationkey AS query_id, d.doc_id::VARCHAR AS id FROM nation JOIN documents d ON contains(lower(d.text), lower(n_name)) OR contains(lower(d.source || ' ' || d.lang), lower(n_name)) WHERE length(n_name) >= 3 AND NOT contains(n_name, ' ')")
+@query("SELECT item_id AS query_id, d.doc_id::VARCHAR AS id FROM (SELECT item_id, regexp_extract(text, '[a-z]{5,}') AS w FROM benchmark) JOIN documents d ON contains(lower(d.text), w) OR contains(lower(d.source || ' ' || d.lang), w) WHERE w <> ''")
 def query_table(spark, sf):
     docs = titled(spark, sf)
-    queries = spark.read.parquet(f"{sf}/nation.parquet").where(~F.contains("n_name", F.lit(" "))).select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("query"))
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", "[a-z]{5,}", 0).alias("query"))
     return search.query_matches(docs, search.postings(docs), queries)
 
 
@@ -391,12 +391,15 @@ def diff_rendered(spark, sf):
 _BODY = "replace(text, '.', '。')"
 
 
-@query(f"SELECT doc_id, (len(string_split({_BODY}, '。')) - 1)::INT AS sentences FROM {FOLDED} WHERE length(text) <= 2000")
-def chunks_short(spark, sf):
-    docs = folded(spark, sf).where(F.length("text") <= 2000)
+_PIECES = f"list_filter(string_split({_BODY}, '。'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')"
+
+
+@query(f"SELECT doc_id, (CASE WHEN length(text) <= 2000 THEN length(text) ELSE list_sum(list_transform({_PIECES}, lambda x: length(x) + 1)) END)::BIGINT AS chars, (CASE WHEN length(text) <= 2000 THEN 0 ELSE len({_PIECES}) END)::INT AS sentences FROM {FOLDED}")
+def chunk_totals(spark, sf):
     body = F.replace("text", F.lit("."), F.lit("。"))
-    one = F.element_at(rewrite.chunks(body), 1)
-    return docs.select("doc_id", (F.size(F.split(one, "。", -1)) - 1).alias("sentences"))
+    docs = folded(spark, sf).select("doc_id", F.length("text").alias("n"), rewrite.chunks(body).alias("c"))
+    stops = F.size(F.split(F.array_join("c", ""), "。", -1)) - 1
+    return docs.select("doc_id", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.when(F.col("n") <= 2000, 0).otherwise(stops).alias("sentences"))
 
 
 @query()
