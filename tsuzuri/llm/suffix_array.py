@@ -2,9 +2,10 @@
 
 Candidate windows of 100 bytes come from ``repeats``: those whose least sampled k-gram recurs. Windows within a path of k-grams
 that always occur together are settled there; every other one goes, with its bytes, to the shard of its least k-gram's hash, so
-equal windows meet. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy (prefix doubling in which only unsorted
-groups are refined), takes common prefixes of neighbours by Kasai's inequality in its vectorised form (irreducible
-values by comparison, the others by counting down), and reports for each group of equal windows all but the earliest.
+equal windows meet. Windows whose hash is alone in its shard are set aside. Each shard sorts the suffixes of the others by
+Larsson-Sadakane refinement in numpy (prefix doubling in which only unsorted groups are refined), takes common prefixes of
+neighbours by Kasai's inequality in its vectorised form (irreducible values by comparison, the others by counting down), and
+reports for each group of equal windows all but the earliest.
 
 Shards hold about ``SHARD_BYTES``. A k-gram whose stretches exceed that is salted over several shards; of these each keeps the
 earliest of its windows, and sorted ranges of the kept windows are merged across shards: Spark's range partitioner places them
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import hashing as H
 from . import repeats as R
 from .debruijn import covered
 
@@ -99,8 +101,34 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return out
 
 
+def recurring_parts(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, start, end) of the stretches whose windows' hashes come up twice or more. What is left out equals nothing here."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    t = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    step = np.zeros(len(t) + 1, np.int64)
+    long = sizes >= length
+    step[starts[long]] += 1
+    step[(starts + sizes - length + 1)[long]] -= 1
+    at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    h = H.windows(H.prefixes(R.values(t)), length)[at]
+    order = np.sort(h)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    at = at[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h]
+    cut = np.flatnonzero(at[1:] != at[:-1] + 1) + 1
+    first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
+    part = np.searchsorted(starts, first, "right") - 1
+    return part, first - starts[part], last - starts[part] + length
+
+
 def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of ``length`` bytes within the parts: (group, part, offset), groups numbered, by suffix array and common prefixes."""
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return z, z, z
     sizes = np.array([len(p) for p in parts], np.int64)
     t = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)  # no UTF-8 text holds 0xFF
     starts = np.cumsum(sizes + 1) - sizes - 1
@@ -152,6 +180,11 @@ def later_windows(open_: DataFrame, spec: R.Spec, shard_bytes: int = SHARD_BYTES
     def run(table: pa.Table) -> pa.Table:
         rk, ord_, s = (table.column(c).to_numpy() for c in ("rk", "ord", "s"))
         data = table.column("data").to_pylist()
+        is_hot = bool(table.num_rows) and table.column("hot")[0].as_py()
+        if not is_hot:
+            part, a, b = recurring_parts(data, length)
+            rk, ord_, s = rk[part], ord_[part], s[part] + a
+            data = [data[i][x:y] for i, x, y in zip(part.tolist(), a.tolist(), b.tolist())]
         group, part, offset = equal_windows(data, length)
         pos, o, r = s[part] + offset, ord_[part], rk[part]
         order = np.lexsort((pos, r, o, group))
@@ -161,7 +194,6 @@ def later_windows(open_: DataFrame, spec: R.Spec, shard_bytes: int = SHARD_BYTES
         own = np.concatenate([[True], head[1:] | (r[1:] != r[:-1])]) if len(group) else head
         mine = np.maximum.accumulate(np.where(own, np.arange(len(group)), 0)) if len(group) else first
         later = (o > o[first]) | (pos > pos[mine])
-        is_hot = table.column("hot")[0].as_py() if table.num_rows else False
         left = np.flatnonzero(~later) if is_hot else np.zeros(0, int)
         gone = np.flatnonzero(later)
         gone = gone[np.lexsort((pos[gone], r[gone]))]
