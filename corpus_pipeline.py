@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsuzuri.llm import bpe, common, decontam, pii, quality, simhash
+from tsuzuri.llm import bpe, common, decontam, near, pii, quality
 from tsuzuri.llm.queries import tokenizer_files
 
 
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies (by five-word shingles at a Jaccard similarity of 0.8, or by SimHash): that of the least doc_id."""
+    return near.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
