@@ -7,8 +7,8 @@ from tsuzuri.functions import plain as P
 from tsuzuri.functions import tables as T
 from tsuzuri.functions import text as X
 
-CONVERT = [("國會ニ於テ", "国会に於テ"), ("日本臣民ハ法律ノ定ムル所ニ從ヒ納稅ノ義務ヲ有ス", "日本臣民は法律の定ムル所に従ヒ納税の義務を有ス"), ("クヮウ", "コー"), ("ヰウ", "ユー"), ("という", "とゆう"), ("キウイ", "キューイ"), ("カウンター", "コーンター"), ("東京カラノミ", "東京からのみ"), ("東京ノミカラ", "東京のみカラ"), ("東京ニテ", "東京にて"), ("東京ヨリモ", "東京よりも"), ("彼ニハ", "彼ニハ"), ("さうだ、京都へ行かう", "そうだ、京都へ行こう"), ("テフテフ", "チョーチョー"), ("てふてふ", "ちょうちょう"), ("グヮイ", "ガイ"), ("辨瓣辯", "弁弁弁"), ("髙橋𠮷田﨑", "高橋吉田崎")]
-NORMAL = [("# 題\n\n國民ノ義務,", "# 題\n\n\n国民の義務、"), ("忽然卜シテ", "忽然として"), ("コ卜卜", "コト卜"), ("郧衠", "郎術"), ("1,000圓", "1、000円"), ("…", "。"), ("①", "1"), ("3.14 a.b. ...", "3.14 a。b。 。"), ("第１號　ｶﾞｽ", "第1号 ガス"), ("　一\r\n\r\n\r\n\r\n二　", "一\n\n二"), ("#only\n", "#only\n"), ("", ""), ("---\n# a", "---\n# a"), ("\U0001b002", "\U0001b002")]
+CONVERT = [("國會ニ於テ", "国会に於テ"), ("日本臣民ハ法律ノ定ムル所ニ從ヒ納稅ノ義務ヲ有ス", "日本臣民は法律の定ムル所に従ヒ納税の義務を有ス"), ("クヮウ", "コー"), ("ヰウ", "ユー"), ("という", "とゆう"), ("キウイ", "キューイ"), ("カウンター", "コーンター"), ("東京カラノミ", "東京からのみ"), ("東京ノミカラ", "東京のみカラ"), ("東京ニテ", "東京にて"), ("東京ヨリモ", "東京よりも"), ("彼ニハ", "彼ニハ"), ("さうだ、京都へ行かう", "そうだ、京都へ行こう"), ("テフテフ", "チョーチョー"), ("てふてふ", "ちょうちょう"), ("グヮイ", "ガイ"), ("辨瓣辯", "弁弁弁"), ("髙橋𠮷田﨑", "高橋吉田崎"), ("國會", "国会"), ("學問", "学問"), ("經濟", "経済"), ("劍法ニシテ", "剣法にして"), ("基礎トシテ", "基礎として"), ("東京ヨリ", "東京より"), ("\U0001b002\U0001b0e7ｶﾞｸ", "い\U0001b0e7ｶﾞｸ")]
+NORMAL = [("# 題\n\n國民ノ義務,", "# 題\n\n\n国民の義務、"), ("忽然卜シテ", "忽然として"), ("コ卜卜", "コト卜"), ("郧衠", "郎術"), ("1,000圓", "1、000円"), ("…", "。"), ("①", "1"), ("3.14 a.b. ...", "3.14 a。b。 。"), ("第１號　ｶﾞｽ", "第1号 ガス"), ("　一\r\n\r\n\r\n\r\n二　", "一\n\n二"), ("#only\n", "#only\n"), ("", ""), ("---\n# a", "---\n# a"), ("\U0001b002", "\U0001b002"), ("\U0001b0e7", "\U0001b0e7")]
 
 
 def column(spark, fn, values):
@@ -75,11 +75,15 @@ def test_header(spark):
 
 def test_tables(spark, tmp_path):
     assert all(len(k) == len(v) == 1 and k != v for k, v in T.default_kanji().items())
+    assert len(T.default_kanji()) == 384 and len(T.default_hentaigana()) == 259 and "\U0001b0e7" not in T.default_hentaigana()
+    for old, new in ("爲為", "黑黒", "澁渋", "徵徴", "綠緑", "虛虚", "歷歴", "戀恋", "步歩", "每毎", "淚涙", "瀧滝", "擔担", "\uFA19神", "\uF9D0類", "\uFA57練", "\uFA67逸", "髙高", "﨑崎", "𠮷吉"):
+        assert T.default_kanji()[old] == new
+    assert [T.default_hentaigana()[c] for c in "\U0001b002\U0001b003\U0001b004"] == ["い"] * 3 and "\uFA46" not in T.default_kanji()
     assert sum(map(len, T.kana_rules())) == 92
     (tmp_path / "a.json").write_text('{"甲": "乙", "x": "yz", "丙": "丙"}', encoding="utf-8")
     (tmp_path / "b.json").write_text('{"甲": "丁"}', encoding="utf-8")
     t = T.Tables.read([str(tmp_path / "a.json"), str(tmp_path / "b.json")], [str(tmp_path / "a.json")])
-    assert dict(t.kanji) == {"甲": "丁"} and P.convert("甲", t) == "丁" and T.default_hentaigana()["\U0001b002"] == "あ"
+    assert dict(t.kanji) == {"甲": "丁"} and P.convert("甲", t) == "丁" and T.default_hentaigana()["\U0001b002"] == "い"
     assert X.kanji_table(spark, t).collect() == [("甲", "丁")]
 
 

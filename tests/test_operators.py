@@ -176,7 +176,7 @@ def test_text_files_and_postprocessing(spark, tmp_path):
     df = files.text_files(spark, str(tmp_path))
     assert [(r["stem"], r["value"]) for r in df.collect()] == [("a", "x\ny"), ("b", "國ノ卜カ")]
     out = {r["stem"]: r for r in library.change_counts(library.postprocess(df)).collect()}
-    assert out["b"]["result"] == "国ノトカ" and out["b"]["n_misread"] == 1 and out["a"]["n_particle"] == 0
+    assert out["b"]["result"] == "国ノトカ" and out["b"]["n_misread"] == 2 and out["a"]["n_particle"] == 0
     assert files.text_files(spark, str(tmp_path / "none")).count() == 0
 
 
@@ -237,7 +237,8 @@ def test_config(tmp_path):
     p = tmp_path / "c.toml"
     p.write_text("[search]\nlimit = 5\n")
     c = config.load(str(p))
-    assert c.get("search.limit") == 5 and c.get("search.min_query_chars") == 3 and c.get("x.y", 1) == 1 and isinstance(c.get("llm"), dict)
+    assert c.get("search.limit") == 5 and c.get("search.min_query_chars") == 3 and c.get("x.y", 1) == 1 and c.get("llm")["top_k"] == 40
+    assert c.get("search") == {"limit": 5, "min_query_chars": 3} and c.get("search.limit.x", "no") == "no" and c.get("searc") is None
     p.write_text("[broken")
     with pytest.raises(config.ConfigError):
         config.load(str(p))

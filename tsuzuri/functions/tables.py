@@ -1,4 +1,4 @@
-"""Character tables. Large tables come from a rule (Unicode data) or from files that the caller names."""
+"""Character tables. Large tables come from a rule, from the file beside this module, or from files that the caller names."""
 
 from __future__ import annotations
 
@@ -7,21 +7,10 @@ import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from importlib import resources
 
-# Common old forms and their modern forms, in pairs. A full table is a parameter (Tables.read).
-COMMON_OLD_FORMS = """
-亞亜 惡悪 壓圧 圍囲 醫医 隱隠 榮栄 營営 衞衛 驛駅 圓円 鹽塩 緣縁 應応 歐欧 櫻桜 奧奥 橫横 溫温 假仮 價価 畫画 會会 繪絵 懷懐
-覺覚 學学 樂楽 勸勧 卷巻 歡歓 觀観 關関 顏顔 歸帰 氣気 龜亀 戲戯 舊旧 據拠 擧挙 峽峡 鄕郷 曉暁 區区 驅駆 勳勲 徑径 惠恵 經経
-繼継 輕軽 鷄鶏 藝芸 劍剣 檢検 權権 獻献 縣県 險険 顯顕 驗験 嚴厳 效効 廣広 號号 國国 濟済 雜雑 參参 殘残 絲糸 齒歯 兒児 辭辞
-實実 舍舎 寫写 釋釈 壽寿 收収 從従 縱縦 處処 將将 燒焼 稱称 證証 乘乗 條条 淨浄 讓譲 觸触 眞真 盡尽 圖図 醉酔 數数 聲声 靜静
-齊斉 專専 戰戦 錢銭 雙双 壯壮 爭争 總総 莊荘 裝装 增増 藏蔵 臟臓 屬属 續続 體体 對対 帶帯 臺台 澤沢 單単 團団 斷断 晝昼 蟲虫
-廳庁 聽聴 鎭鎮 鐵鉄 轉転 點点 傳伝 黨党 燈灯 當当 德徳 獨独 讀読 腦脳 拜拝 廢廃 賣売 發発 拔抜 拂払 佛仏 變変 邊辺 辨弁 瓣弁
-辯弁 寶宝 豐豊 沒没 滿満 默黙 藥薬 稅税 萬万 譯訳 豫予 餘余 與与 譽誉 樣様 來来 賴頼 亂乱 覽覧 龍竜 兩両 勵励 禮礼 靈霊 齡齢
-勞労 樓楼 郞郎 錄録
-"""
-# Forms used in names, and variants outside the old forms.
-NAME_FORMS = "堯尭 巖巌 晉晋 槇槙 瑤瑶 祿禄 穰穣 聰聡 遙遥"
-VARIANTS = "﨑崎 𠮷吉 髙高"
+# Modern forms whose old forms Unicode has as compatibility ideographs.
+COMPATIBILITY = "侮僧免勉勤卑喝嘆器塀墨層悔慨憎懲敏既暑梅殺海漢煮碑社祉祈祖祝神祥禍福穀突節署繁者臭著虜褐視諸謁謹賓贈練逸都難響頻類隆塚廊朗欄"
 
 
 def _pairs(text: str) -> dict[str, str]:
@@ -44,28 +33,25 @@ def read_tables(*paths: str) -> dict[str, str]:
 
 @lru_cache
 def default_kanji() -> dict[str, str]:
-    """Compatibility ideographs of JIS X 0213 by Unicode's own decompositions, then the pairs above."""
-    compat = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFA30, 0xFA6B)}
-    return one_to_one(compat.items()) | _pairs(COMMON_OLD_FORMS) | _pairs(NAME_FORMS) | _pairs(VARIANTS)
+    """The pairs of old_forms.txt, and the compatibility ideographs by Unicode's own decompositions (of several, the last one)."""
+    lines = resources.files(__package__).joinpath("old_forms.txt").read_text(encoding="utf-8").splitlines()
+    pairs = _pairs(" ".join(x for x in lines if not x.startswith("#")))
+    compat = {m: chr(c) for c in range(0xF900, 0xFA6B) if (m := unicodedata.normalize("NFKC", chr(c))) in COMPATIBILITY}
+    return one_to_one(pairs.items()) | one_to_one((old, m) for m, old in compat.items())
 
 
-# The kana of Unicode's romanised names.
-_ROWS = {"": "あいうえお", "K": "かきくけこ", "S": "さしすせそ", "T": "たちつてと", "N": "なにぬねの", "H": "はひふへほ", "M": "まみむめも", "Y": "や ゆ よ", "R": "らりるれろ", "W": "わゐ ゑを"}
+# The kana that variant forms stand for, with their number of forms, in the order of the code points from a first one on.
+HENTAIGANA = (
+    (0x1B002, "い4 う3 え6 お4 か7 き7 く4 け6 こ6 さ7 し8 す5 せ4 そ4 た4 ち6 つ5 て5 と6 な6 に6 ぬ3 ね4 の6 は9 ひ5 ふ4 へ4 ほ5 ま7 み4 む4 め4 も4 や5 ゆ4 よ6 ら5 り6 る5 れ4 ろ4 わ4 い2 え1 を6 ん1"),
+    (0x1B101, "え2 こ2 し2 す2 と3 の2 は2 ひ2 ふ2 へ1 む2 り3 ろ3 い1 え1"),
+)
 
 
 @lru_cache
 def default_hentaigana() -> dict[str, str]:
-    """By the character's Unicode name, e.g. HENTAIGANA LETTER KA-3 is か. A name with two sounds takes the first, with ゐ and ゑ as い and え."""
-    sounds = {r + v: k for r, row in _ROWS.items() for v, k in zip("AIUEO", row) if k != " "} | {"N": "ん"}
-    fold = {"ゐ": "い", "ゑ": "え"}
-    out = {}
-    for c in range(0x1B000, 0x1B120):
-        name = unicodedata.name(chr(c), "")
-        if name.startswith("HENTAIGANA LETTER "):
-            sound = sounds.get(name.removeprefix("HENTAIGANA LETTER ").split("-")[0])
-            if sound:
-                out[chr(c)] = fold.get(sound, sound)
-    return out
+    """Runs of code points, each one kana's variant forms."""
+    runs = ((first, "".join(x[0] * int(x[1:]) for x in kana.split())) for first, kana in HENTAIGANA)
+    return {chr(first + i): k for first, kana in runs for i, k in enumerate(kana)}
 
 
 @dataclass(frozen=True)

@@ -39,11 +39,22 @@ def convert_hentaigana(c: Column | str, tables: T.Tables | None = None) -> Colum
 
 
 def convert_historical_kana(c: Column | str) -> Column:
-    """A text without any of the rules' tail characters is left as it is."""
+    """The rules of one tail character (う, ウ) need one pass: the text is cut after each, and a piece's last two characters are looked up.
+
+    The other rules come before. A text without any of the rules' tail characters is left as it is."""
     c = out = _col(c)
-    for phase in T.kana_rules():
-        for old, new in phase:
+    first, second = T.kana_rules()
+    out = _translate(out, tuple(p for p in first if len(p[0]) == 1))
+    for old, new in (*first, *second):
+        if len(old) > 1 and old[-1] not in "うウ":
             out = F.replace(out, F.lit(old), F.lit(new))
+    ends = F.create_map(*(F.lit(x) for old, new in second if old[-1] in "うウ" for x in (old, new)))
+
+    def piece(p: Column) -> Column:
+        new = F.try_element_at(ends, F.substring(p, -2, 2))
+        return F.when(new.isNull(), p).otherwise(F.concat(F.substring(p, F.lit(1), F.length(p) - 2), new))
+
+    out = F.array_join(F.transform(F.split(out, "(?<=[うウ])", -1), piece), "")
     return F.when(c.rlike("[うウふフゎヮゐゑヰヱ]"), out).otherwise(c)
 
 
@@ -163,7 +174,7 @@ def count_historical_kana(c: Column | str) -> Column:
 
 
 def count_katakana_particles(c: Column | str) -> Column:
-    return sum((F.regexp_count(_col(c), F.lit(p)) for p, _, _ in plain.particle_rules()), F.lit(0))
+    return F.regexp_count(_col(c), F.lit(plain.any_particle()))
 
 
 def count_chars(c: Column | str, pairs: tuple[tuple[str, str], ...]) -> Column:

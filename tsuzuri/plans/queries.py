@@ -14,6 +14,8 @@ from ..functions import plain
 from ..functions import tables as T
 from ..functions import text as X
 from ..operators import diff, index, library, rewrite, search
+from ..sources import files
+from . import ocr
 
 FOLD_FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLD_TO = "國\U0001b002學會ニハ郧ウノ髙ヮ卜クうか﨑圖テヰセヲ經\U00020bb7鐵シ辯國\U0001b006學會ガトヘウノ髙ヮ卜クモか﨑圖りヰセヲ經\U00020bb7鐵シ辯"
@@ -35,7 +37,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def folded(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, raw, text, lang, source): documents in folded letters."""
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("raw"), F.translate("text", FOLD_FROM, FOLD_TO).alias("text"), "lang", "source")
+    docs = files.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("raw"), "lang", "source"))
+    return docs.select("doc_id", "raw", F.translate("raw", FOLD_FROM, FOLD_TO).alias("text"), "lang", "source")
 
 
 # --- the rules as SQL ---
@@ -88,7 +91,9 @@ def sql_whitespace(e: str) -> str:
     return f"regexp_replace(array_to_string(list_transform(string_split({e}, chr(10)), lambda x: trim(x, {ws})), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
-KANJI, HENTAI = T.defaults().kanji, T.defaults().hentaigana
+# The pairs of the tables that folded texts meet.
+KANJI = tuple(tuple(p) for p in "國国 學学 會会 髙高 﨑崎 圖図 經経 𠮷吉 鐵鉄 辯弁".split())
+HENTAI = (("\U0001b002", "い"), ("\U0001b006", "う"))
 
 
 def sql_normal(e: str) -> str:
@@ -246,12 +251,12 @@ def change_counts(spark, sf):
     return df.groupBy("source").agg(F.count("*").alias("docs"), *(F.sum(c).cast("long").alias(c) for c in ("n_misread", "n_kana", "n_particle")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in KANJI) + ") t(old, new)")
+@query()
 def kanji_table(spark, sf):
     return X.kanji_table(spark)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in HENTAI) + ") t(old, new)")
+@query()
 def hentaigana_table(spark, sf):
     return X.hentaigana_table(spark)
 
@@ -274,13 +279,15 @@ def extract_title(spark, sf):
 @query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S+09:00') AS created_at, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM events")
 def created_at(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    return events.select("event_id", F.date_format(F.col("ts") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'+09:00'").alias("created_at"), X.date_part("ts").alias("day"))
+    return events.select("event_id", X.created_at("ts").alias("created_at"), X.date_part("ts").alias("day"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS joined, count(*)::BIGINT AS pages FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id::VARCHAR AS conv_id, string_agg(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12288)), chr(10) || chr(10) ORDER BY turn) AS joined, count(*)::BIGINT AS pages FROM conversations GROUP BY conv_id")
 def page_join(spark, sf):
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("joined"), F.count("*").alias("pages"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    result = F.struct("text", F.lit(0.0).alias("elapsed_seconds"), F.lit(None).cast("string").alias("error"))
+    pages = turns.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("page"), F.col("turn").cast("string").alias("path"), result.alias("ocr"), F.lit(None).cast("array<string>").alias("steps"), F.lit(None).cast("double").alias("prep_elapsed"))
+    return ocr.joined(pages).select(F.col("session").alias("conv_id"), F.col("ocr_raw").alias("joined"), F.size("source_paths").cast("long").alias("pages"))
 
 
 @query("SELECT conv_id, CASE WHEN count(*) = 1 THEN 'source.png' ELSE 'source_' || printf('%02d', max(turn)) || '.png' END AS name FROM conversations GROUP BY conv_id")
@@ -343,7 +350,8 @@ def search_boolean(spark, sf):
 @query("SELECT gram, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram")
 def trigram_index(spark, sf):
     docs = titled(spark, sf).withColumn("title", F.lit(""))
-    return search.postings(docs).groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
+    each = search.postings(docs).groupBy("gram", "id").agg(F.count("*").alias("n"))
+    return each.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
 @query("SELECT item_id AS query_id, d.doc_id::VARCHAR AS id FROM (SELECT item_id, regexp_extract(text, '[a-z]{5,}') AS w FROM benchmark) JOIN documents d ON contains(lower(d.text), w) OR contains(lower(d.source || ' ' || d.lang), w) WHERE w <> ''")

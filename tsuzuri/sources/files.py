@@ -19,6 +19,12 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over as many tasks as there are cores, where the files give fewer (one row group is one task): for costly expressions on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _name(path: Column, up: int = 0) -> Column:
     """The path's last part, or that of its parent."""
     return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1 - up)
