@@ -21,8 +21,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines that too many texts of their source share."""
-    return _counted(quality.filtered(docs, "source"))
+    """Documents that the rules keep, without lines that too many texts of their source share. Exact copies count once, as the next stage sees to them."""
+    return _counted(quality.filtered(docs, "source", by="texts"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_stages_and_run(spark, tmp_path):
     assert [set(r.asDict()) for s in seen[1:-1] for r in s[:1]] == [set(seen[0][0].asDict())] * 4
     by = [{r["doc_id"]: r for r in s} for s in seen]
     # quality: verdicts of the query
-    kept = {r["doc_id"] for r in quality.judge(C.documents(spark, str(tmp_path))).collect() if r["kept"]}
+    kept = {r["doc_id"] for r in quality.judge(C.documents(spark, str(tmp_path)), by="texts").collect() if r["kept"]}
     assert set(by[1]) == kept and all(r["n_chars"] == len(r["text"]) for r in seen[1])
     # one of each group, by search over all pairs
     fp = {d: brute_fingerprint(r["text"]) for d, r in by[1].items()}

@@ -167,25 +167,63 @@ def quality_rows():
     return rows + [(None, None, None), (500, "short", None), (501, body(60), None)]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_frequent_lines(spark, limit):
+def plain_lines(text):
+    """Normalised lines of a text, with their words."""
+    return Counter(x for line in (text or "").split("\n") if (x := " ".join(re.findall(r"[^\x20\x09-\x0D]+", line)).casefold()))
+
+
+def plain_verdicts(rows, by):
+    """doc_id, removed words and kept, by counting in dictionaries."""
+    who = lambda d, t: (t or "") if by == "texts" else ("doc", d) if d is not None else (t or "")
+    hosts, holders = {}, {}
+    for d, t, h in rows:
+        hosts.setdefault(h, set()).add(who(d, t))
+        for x in plain_lines(t):
+            holders.setdefault((h, x), set()).add(who(d, t))
+    often = {k for k, v in holders.items() if len(v) >= 20 or len(v) >= 5 and len(v) > 0.2 * len(hosts[k[0]])}
+    out = []
+    for d, t, h in rows:
+        n, _, _, _, rep = plain_measure(t or "")
+        gone = sum(k * len(x.split()) for x, k in plain_lines(t).items() if (h, x) in often)
+        out.append((d, n, gone, not (n < 50 or 100 * rep > 50 * n) and n - gone >= 0.5 * n))
+    return out
+
+
+@pytest.mark.parametrize("limit,by,hot", [(200_000, "documents", 100_000), (0, "texts", 1), (0, "documents", 3)])
+def test_frequent_lines(spark, monkeypatch, limit, by, hot):
+    monkeypatch.setattr(quality, "HOT", hot)
     rows = quality_rows()
-    got = {r["doc_id"]: r for r in quality.judge(table(spark, rows)).collect()}
+    rows += [rows[0], rows[0], (600, "\n".join(f"small{j} " * 9 + "footer" for j in range(8)), "hostD")]
+    rows += [(601 + i, f"{' '.join(f'v{i}x{j}' for j in range(70))}\nSmall  Footer of a small host", "hostE") for i in range(12)]
+    judged = quality.judge(table(spark, rows), by=by).collect()
+    assert sorted(map(str, [(r["doc_id"], r["n_words"], r["n_removed_words"], r["kept"]) for r in judged])) == sorted(map(str, plain_verdicts(rows, by)))
+    got = {r["doc_id"]: r for r in judged}
     assert got[0]["kept"] and got[0]["n_removed_lines"] == 5 and got[0]["n_removed_words"] == 67
-    assert got[200]["kept"] and got[200]["n_removed_lines"] == 0  # 19 texts are too few
-    assert not got[300]["kept"] and not got[300]["base_failed"] and got[400]["kept"] and got[400]["n_removed_lines"] == 0
+    assert got[200]["kept"] and got[200]["n_removed_lines"] == 1  # 19 documents, but all of the host's
+    assert got[601]["kept"] and got[601]["n_removed_words"] == 6
+    assert not got[300]["kept"] and not got[300]["base_failed"] and got[400]["kept"] == (by == "texts")
     assert not got[500]["kept"] and got[501]["kept"] and got[None]["base_failed"]
     for d, t, _ in rows:
         r = got[d]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain_measure(t or "") or d is None
-    kept = quality.filtered(table(spark, rows), broadcast_rows=limit)
+    kept = quality.filtered(table(spark, rows), by=by, broadcast_rows=limit)
     assert kept.columns == table(spark, rows).columns
     text = {r["doc_id"]: r["text"] for r in kept.collect()}
-    assert set(text) == {d for d, r in got.items() if r["kept"]} and "Terms" not in text[0] and "Terms" in text[200]
+    assert set(text) == {d for d, r in got.items() if r["kept"]} and "Terms" not in text[0] and "Terms" not in text[200]
     empty = table(spark, rows).where("doc_id = -1")
     assert quality.judge(empty).count() == 0 and quality.filtered(empty).count() == 0
 
 
+def test_a_hot_host_does_not_raise_the_limit(spark):
+    """A line in a few of very many documents of a host goes as well."""
+    rng = random.Random(9)
+    body = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(i, body() + ("\nshared line here" if i < 25 else ""), "hot") for i in range(400)]
+    assert sum(r["n_removed_words"] for r in quality.judge(table(spark, rows)).collect()) == 25 * 3
+    with pytest.raises(ValueError):
+        quality.judge(table(spark, rows), by="rows")
+
+
 # --- encoding ---
 
 

@@ -1,14 +1,19 @@
 """Quality rules: base counts of a text, and line frequency across the documents of a host.
 
-A line is normalised (white space collapsed, case folded by Unicode rules) and hashed. For each host, the distinct
-texts that hold it are counted, so exact copies count once. A line in at least ``MIN_TEXTS`` texts and over ``MAX_SHARE``
-of the host's texts is boilerplate: it is removed everywhere on that host. A document whose words are mostly gone is rejected.
-
-Counting shuffles hashes, never texts: (host, line, text) is made distinct first, so a line that a third of all documents
-hold is spread over as many tasks as it has texts, then pre-aggregated.
-
-Defined results: null text has no words and fails the base rule; a null host is a host of its own; repeated rows count
-once and give equal rows; an empty table gives an empty result; other columns are kept by ``filtered`` and ignored by ``judge``.
+A line is normalised (white space collapsed, case folded by Unicode rules) and hashed. For each host, the distinct documents that
+hold it are counted. A line in ``MAX_DOCS`` documents or more is boilerplate however large the host is; so is one in ``MIN_DOCS``
+or more that are over ``MAX_SHARE`` of the host's documents. Such lines are removed everywhere on that host, and a document whose
+words are mostly gone is rejected. ``by="texts"`` counts distinct texts instead, so that exact copies do not make their own
+lines frequent: for use before a stage that removes copies.
+
+Counting shuffles hashes, never texts: (host, line, document) is made distinct first, so a line that a third of all documents
+hold is spread over as many tasks as it has documents, then pre-aggregated. To find their rows, the lines that make up 1 / ``HOT``
+of all lines or more (so at most HOT of them) are broadcast, and all others, none of which is hot, are joined.
+
+Defined results: null text has no words and fails the base rule; a null host is a host of its own; rows of one doc_id are one
+document (of a null doc_id: rows of one text); repeated rows count once and give equal rows; limits are met by equality (MAX_DOCS,
+MIN_DOCS), the share must be exceeded; a text is read whole, whatever its length; an empty table gives an empty result; other
+columns, whatever their names, are kept by ``filtered`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_TEXTS, MAX_SHARE, MIN_LEFT = 20, 0.2, 0.5
+MAX_DOCS, MIN_DOCS, MAX_SHARE, MIN_LEFT = 20, 5, 0.2, 0.5
+HOT = 100_000
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
 
@@ -91,28 +97,39 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return C.stored(C.arrow_map(own, run, BASE + ", lines array<long>, sizes array<long>"))
 
 
-def frequent_lines(rows: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, texts) of the lines above both limits. The last filter makes it small: a host's texts hold few lines that a fifth of them share."""
-    each = rows.select("host", "text_hash", F.explode("lines").alias("line")).distinct()
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    hosts = rows.select(F.col("host").alias("h"), "text_hash").distinct().groupBy("h").agg(F.count("*").alias("host_texts"))
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("texts") > max_share * F.col("host_texts")).select("host", "line", "texts")
+def frequent_lines(rows: DataFrame, by: str = "documents", max_docs: int = MAX_DOCS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, line, docs) of the lines above the limits."""
+    if by not in ("documents", "texts"):
+        raise ValueError(f"by must be documents or texts, not {by!r}")
+    who = [F.col("text_hash").alias("t")] if by == "texts" else [F.col("doc_id").alias("d"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("t")]
+    each = rows.select("host", *who, F.explode("lines").alias("line")).distinct()
+    counts = each.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    hosts = rows.select(F.col("host").alias("h"), *who).distinct().groupBy("h").agg(F.count("*").alias("host_docs"))
+    often = (F.col("docs") >= max_docs) | (F.col("docs") > max_share * F.col("host_docs"))
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(often).select("host", "line", "docs")
+
+
+def holders(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(row_id, line, size): where the rows hold one of the ``lines`` (stored)."""
+    mine = rows.select("row_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row_id", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
+    total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
+    bad = lines.select(F.col("host").alias("h"), F.col("line").alias("l"), (F.col("docs") * HOT >= total).alias("hot"))
+    found = lambda b: mine.join(b, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).select("row_id", "line", "size")
+    return found(F.broadcast(bad.where("hot"))).union(found(bad.where("not hot")))
 
 
 def verdicts(rows: DataFrame, lines: DataFrame, min_left: float = MIN_LEFT) -> DataFrame:
     """Each row with n_removed_words, n_removed_lines and kept."""
-    mine = rows.select("row_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row_id", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
-    bad = lines.select(F.col("host").alias("h"), F.col("line").alias("l"))
-    gone = mine.join(bad, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).groupBy("row_id").agg(F.sum("size").alias("removed_words"), F.count("*").alias("removed_lines"))
+    gone = holders(rows, lines).groupBy("row_id").agg(F.sum("size").alias("removed_words"), F.count("*").alias("removed_lines"))
     out = rows.drop("lines", "sizes").join(gone, "row_id", "left")
     removed = F.coalesce("removed_words", F.lit(0))
     return out.withColumns({"n_removed_words": removed, "n_removed_lines": F.coalesce("removed_lines", F.lit(0)), "kept": ~F.col("base_failed") & (F.col("n_words") - removed >= min_left * F.col("n_words"))}).drop("removed_words", "removed_lines")
 
 
-def judge(docs: DataFrame, host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", by: str = "documents") -> DataFrame:
     """Base counts and the verdict for each document."""
     rows = measured(docs, host)
-    return verdicts(rows, frequent_lines(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words")
+    return verdicts(rows, C.stored(frequent_lines(rows, by))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words")
 
 
 def strip_lines(text: str, bad: set[int]) -> str:
@@ -120,14 +137,14 @@ def strip_lines(text: str, bad: set[int]) -> str:
     return "\n".join(x for x in text.split("\n") if not ((w := x.encode().split()) and line_hash(w) in bad))
 
 
-def filtered(docs: DataFrame, host: str = "source", broadcast_rows: int = 200_000) -> DataFrame:
+def filtered(docs: DataFrame, host: str = "source", by: str = "documents", broadcast_rows: int = 200_000) -> DataFrame:
     """The kept documents, without their frequent lines; columns as they were.
 
-    The verdict needs the counts, so the table is read twice. Frequent lines are few by their definition; up to ``broadcast_rows``
-    of them go to every task, beyond that they are joined to the documents by host.
+    The verdict needs the counts, so the table is read twice. Up to ``broadcast_rows`` frequent lines go to every task, beyond
+    that they are joined to the documents.
     """
     rows = measured(docs, host)
-    lines = C.stored(frequent_lines(rows))
+    lines = C.stored(frequent_lines(rows, by))
     schema = docs.schema
     n = lines.count()
 
@@ -148,7 +165,7 @@ def filtered(docs: DataFrame, host: str = "source", broadcast_rows: int = 200_00
             known.setdefault(r["host"], set()).add(r["line"])
         shared = docs.sparkSession.sparkContext.broadcast(known)
         return C.arrow_map(docs, lambda b: clean(b, lambda _, hosts: [shared.value.get(None if h is None else str(h), set()) for h in hosts]), schema)
-    mine = rows.select("row_id", "host", F.explode("lines").alias("line")).join(lines.select(F.col("host").alias("h"), F.col("line").alias("l")), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).groupBy("row_id").agg(F.collect_list("line").alias("__bad"))
+    mine = holders(rows, lines).groupBy("row_id").agg(F.collect_list("line").alias("__bad"))
     of_text = rows.select("row_id", "text_hash", "host").join(mine, "row_id").groupBy("text_hash", "host").agg(F.first("__bad").alias("__bad")).select(F.col("text_hash").alias("__t"), F.col("host").alias("__h"), "__bad")
     @F.pandas_udf("long")
     def hashed(s: pd.Series) -> pd.Series:

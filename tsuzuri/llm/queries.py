@@ -88,10 +88,10 @@ WITH d AS (SELECT doc_id, source, text, {_WORDS.format("text")} AS w FROM docume
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 again AS (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g JOIN again USING (doc_id, gram), range(3) t(j) GROUP BY doc_id),
-l AS (SELECT doc_id, source, md5(text) AS body, line, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents)),
-n AS (SELECT doc_id, source, body, line, len(lw) AS size, lower(array_to_string(lw, ' ')) AS norm FROM l WHERE len(lw) > 0),
+l AS (SELECT doc_id, source, line, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents)),
+n AS (SELECT doc_id, source, line, len(lw) AS size, lower(array_to_string(lw, ' ')) AS norm FROM l WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n GROUP BY doc_id),
-often AS (SELECT source, norm FROM n JOIN (SELECT source, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY source) h USING (source) GROUP BY source, norm, texts HAVING count(DISTINCT body) >= 20 AND count(DISTINCT body) > 0.2 * texts),
+often AS (SELECT source, norm FROM n JOIN (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source) h USING (source) GROUP BY source, norm, docs HAVING count(DISTINCT doc_id) >= 20 OR count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.2 * docs),
 gone AS (SELECT doc_id, count(DISTINCT norm) AS lines, sum(size) AS words FROM n JOIN often USING (source, norm) GROUP BY doc_id),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.lines, 0)::BIGINT AS n_removed_lines, coalesce(gone.words, 0)::BIGINT AS n_removed_words
