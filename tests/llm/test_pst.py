@@ -3,6 +3,9 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
+from tsuzuri.llm import common as C
 from tsuzuri.llm import pst
 
 from .util import copies, prose, table
@@ -46,39 +49,91 @@ def markov(rng, n):
     return " ".join(out)
 
 
-def test_contexts_help_on_held_out_text(spark, monkeypatch):
+def brute_tree(rows, depth=pst.DEPTH):
+    """Retained contexts with their share for the suffix and their entries, by counting word tuples; and the probability of a word after others."""
+    texts = [words(t) for d, t in rows if not held(d)]
+    n = Counter(tuple(t[i : i + k]) for t in texts for k in range(1, depth + 2) for i in range(len(t) - k + 1))
+    total, distinct = sum(map(len, texts)), len({w for t in texts for w in t})
+    size = lambda c: n[c] if c else total
+    tree = {}
+    for k in range(1, depth + 1):
+        follow = {}
+        for g, c in n.items():
+            if len(g) == k + 1 and c >= pst.MIN_ENTRY and n[g[:-1]] >= pst.MIN_CONTEXT:
+                follow.setdefault(g[:-1], []).append((g[-1], c))
+        for ctx, found in follow.items():
+            ratio = sum(c * math.log(c / size(ctx) / (n[(*ctx[1:], w)] / size(ctx[1:]))) for w, c in found)
+            if ratio - len(found) > math.log(total):
+                tree[ctx] = (1 - sum((c - 0.5) / size(ctx) for _, c in found), {w: (c - 0.5) / size(ctx) for w, c in found})
+
+    def p(before, w):
+        out = (n[(w,)] + 0.1) / (total + 0.1 * (distinct + 1))
+        for k in range(1, min(depth, len(before)) + 1):
+            if (ctx := tuple(before[-k:])) in tree:
+                rest, entries = tree[ctx]
+                out = entries.get(w, 0.0) + rest * out
+        return out
+
+    return tree, p
+
+
+def check_scores(spark, rows):
+    tree, p = brute_tree(rows)
+    got = check_base(spark, rows)
+    want = sorted((str(d), sum(math.log10(p(w[:i], w[i])) for i in range(len(w)))) for d, t in rows for w in [words(t)])
+    for (d, x), (e, y) in zip(sorted((str(r["doc_id"]), r["score"]) for r in got), want):
+        assert d == e and abs(x - y) < 1e-6 * max(1, abs(y)), (d, x, y)
+    return tree, got
+
+
+@pytest.mark.parametrize("cache", [pst.CACHE, 0])
+def test_scores_against_brute_force(spark, monkeypatch, cache):
+    """A tree that goes to the tasks, and one that is joined; with hot keys, and with a filter too small to tell."""
+    monkeypatch.setattr(pst, "CACHE", cache)
+    rng = random.Random(1)
+    rows = [(i, markov(rng, 60)) for i in range(80)] + copies(6, 25) + [(None, markov(rng, 9)), (90, "x " * 4000)]
+    rows += [(9000 + i, f"{'ab'[i % 2]} m n out{i % 2}") for i in range(90)]
+    if not cache:
+        monkeypatch.setattr(C, "HOT", 20)
+        monkeypatch.setattr(pst, "BLOOM_BITS", 64)
+        monkeypatch.setattr(pst, "SYMBOLS", 10)
+    tree, _ = check_scores(spark, rows)
+    assert {len(c) for c in tree} == {1, 2, 3}
+
+
+def test_contexts_help_on_held_out_text(spark):
     rng = random.Random(1)
     rows = [(i, markov(rng, 150)) for i in range(200)]
     got = check_base(spark, rows)
     out = [r for r in got if r["held_out"]]
     gain = sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out)
     assert gain > 0.3
-    tree, _ = pst.train(pst.split(table(spark, rows)).where("not held_out").select("doc_id", "text"))
-    assert len(tree.contexts) >= 2 and (tree.rest[0] < 1).any()
 
 
-def test_unrelated_words_retain_nothing(spark):
+def test_unrelated_words_retain_little(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(prose(rng, 150, 40))) for i in range(100)]
-    tree, _ = pst.train(pst.split(table(spark, rows)).where("not held_out").select("doc_id", "text"))
-    assert sum((r < 1).sum() for r in tree.rest) <= 2
+    assert pst.train(pst.split(table(spark, rows)).where("not held_out").select("doc_id", "text")).contexts.count() <= 40
+
+
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    """A phrase found a few times is kept, however many other tokens there are."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(prose(rng, 400, 3000))) for i in range(120)]
+    rows += [(1000 + i, " ".join([*prose(rng, 20, 3000), "alpha w1 beta gamma", *prose(rng, 20, 3000)])) for i in range(10)]
+    tree, got = check_scores(spark, rows)
+    assert (b"alpha",) in tree
+    by = {r["doc_id"]: r for r in got}
+    assert all((by[1000 + i]["score"] - by[1000 + i]["base_score"]) > 1 for i in range(10))
 
 
-def test_probabilities_sum_to_one(spark):
+def test_probabilities_sum_to_one():
     rng = random.Random(3)
     rows = [(i, markov(rng, 100)) for i in range(60)]
-    tree, _ = pst.train(pst.split(table(spark, rows)).where("not held_out").select("doc_id", "text"))
-    import numpy as np
-
-    sym = tree.symbols
-    t = pst.tokens("s1 s2 s3")[:3]
-    total = 0.0
-    for w in sym.tolist():
-        _, _, lp = pst.rates(tree, np.append(t, w), np.array([0]))
-        total += 10 ** lp[-1]
-    rare = pst.rates(tree, np.append(t, 12345), np.array([0]))[2][-1]
-    left = tree.smooth(0) + tree.smooth(1) * (tree.distinct - len(sym))
-    assert abs(total + 10**rare * left - 1) < 1e-3
+    _, p = brute_tree(rows)
+    known = {w for d, t in rows if not held(d) for w in words(t)}
+    for before in (["s1"], ["s1", "s2", "s3"], ["nothing"]):
+        assert abs(sum(p(before, w) for w in known) + p(before, "unseen") - 1) < 1e-9
 
 
 def test_no_training_and_empty(spark):

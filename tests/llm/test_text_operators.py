@@ -9,6 +9,7 @@ import pytest
 
 import public_tokenizers
 from tsuzuri.llm import bpe, pii, quality, secrets, sharding
+from tsuzuri.llm import common as C
 from tsuzuri.llm.queries import tokenizer_files
 
 from .util import copies, table
@@ -191,7 +192,7 @@ def plain_verdicts(rows, by):
 
 @pytest.mark.parametrize("limit,by,hot", [(200_000, "documents", 100_000), (0, "texts", 1), (0, "documents", 3)])
 def test_frequent_lines(spark, monkeypatch, limit, by, hot):
-    monkeypatch.setattr(quality, "HOT", hot)
+    monkeypatch.setattr(C, "HOT", hot)
     rows = quality_rows()
     rows += [rows[0], rows[0], (600, "\n".join(f"small{j} " * 9 + "footer" for j in range(8)), "hostD")]
     rows += [(601 + i, f"{' '.join(f'v{i}x{j}' for j in range(70))}\nSmall  Footer of a small host", "hostE") for i in range(12)]

@@ -37,14 +37,36 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut, and no executor's loss can undo it.
 
-    The files go when the application ends.
+    The files go by ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tsuzuri-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = hpath
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from ``stored`` that nothing reads any more, and let Spark delete shuffle files of dropped data frames."""
+    for t in tables:
+        t._stored_at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(t._stored_at, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+#: Keys that make up 1 / HOT of a total or more are broadcast in ``join_hot``: at most HOT of them.
+HOT = 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """An equi-join in which no key's rows meet in one task. ``right`` has unique keys, of which ``count`` bounds the rows of ``left``
+    (summing to about ``total``): the frequent ones are broadcast, at most HOT by their definition, and only the others are shuffled."""
+    hot, cold = right.where(F.col(count) * HOT >= total), right.where(F.col(count) * HOT < total)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,17 +1,23 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Training counts all words of all training documents. Contexts grow to the left, one word each level, as long as they make up at
-least ``CONTEXT_SHARE`` of all tokens; each level is one pass that counts what follows them. A context is retained if its next-word
-distribution diverges from its suffix's: the log likelihood ratio must exceed the number of its words and ``2 ln N``. Retained
-distributions are smoothed by absolute discount, and what is left goes to the longest retained suffix, down to the smoothed
+Training counts all words of all training documents, then, for contexts of 1 to ``DEPTH`` words, what follows them: one pass a level,
+over the contexts found at least ``MIN_CONTEXT`` times. A context is retained if its next-word distribution diverges from that of its
+suffix (the context without its first word): the log likelihood ratio must exceed the number of its words and ln N. Retained
+distributions are smoothed by absolute discount, and what is left goes to the next shorter retained suffix, down to the smoothed
 unigrams. A token is scored in the state of its longest retained context.
 
-What goes to every task is bounded by shares of all tokens, whatever the corpus: at most 1 / SYMBOL_SHARE symbols, 1 / CONTEXT_SHARE
-contexts a level, 1 / ENTRY_SHARE entries a level. All other words' counts are joined by a shuffle.
+Nothing is capped: words, contexts and entries are tables in the shared folder, keyed by 64-bit hashes, whose size follows the
+corpus. The minimum counts are constants. Two things only save work: a bounded Bloom filter (``BLOOM_BITS``) of the contexts that
+count, beyond whose size more rows are counted in vain, and a tree of up to ``CACHE`` keys goes to every task; a larger one is joined to
+the tokens by shuffles. Frequent keys are joined by ``common.join_hot``.
+
+An entry holds its gain over the base probability, so a text's score is its base score, plus the gain of each token's longest entry,
+plus the log of what each longer retained context left to its suffix.
 
 Defined results: null or empty text is one token, the end; a null doc_id counts as the empty text in the split (held out);
-repeated rows count each and get equal rows; without training tokens every count is 0 (N = V = 0); an empty table gives an empty
-result; other columns are ignored.
+repeated rows count each and get equal rows; texts are read whole, whatever their length; equal counts and ties need no order;
+without training tokens every count is 0 (N = V = 0); an empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .hashing import mix
 
-SYMBOL_SHARE, CONTEXT_SHARE, ENTRY_SHARE, DEPTH = 2e-6, 1e-4, 1e-6, 3
+MIN_CONTEXT, MIN_ENTRY, DEPTH = 4, 2, 3
 DISCOUNT, ALPHA = 0.5, 0.1
+#: Words whose counts go to every task (all others are joined), keys of a tree that does, and bits of the filter.
+SYMBOLS, CACHE, BLOOM_BITS = 500_000, 6_000_000, 1 << 28
 END = np.uint64(xxhash.xxh64_intdigest(b"\n")).astype(np.int64)  # no word holds white space
 FLUSH = 2_000_000
 
@@ -41,6 +50,24 @@ def tokens(text: str) -> np.ndarray:
     return out
 
 
+def joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Key of the words w1..wn+1 from those of w1..wn and w2..wn+1."""
+    return mix(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)).view(np.int64)
+
+
+def grams(t: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1 to ``most`` words before a token: the tokens that have them, the keys of these words, of them without the first but with the token, and of both."""
+    at = np.setdiff1d(np.arange(len(t)), start, assume_unique=True)
+    key, ok = t, np.ones(len(t), bool)
+    for _ in range(most):
+        at = at[ok[at - 1]]
+        before, last = key[at - 1], key[at]
+        both = joined(before, last)
+        yield at, before, last, both
+        key, ok = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+        key[at], ok[at] = both, True
+
+
 def split(docs: DataFrame) -> DataFrame:
     """doc_id, text and held_out."""
     rows = C.id_text(docs)
@@ -48,40 +75,30 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Tree:
-    """What scoring needs; all arrays bounded by shares of the corpus."""
-
-    total: int = 0
-    distinct: int = 0
-    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted word hashes
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    contexts: list[np.ndarray] = field(default_factory=list)  # by level: sorted keys (context of the words before the last) * S + last symbol
-    sizes: list[np.ndarray] = field(default_factory=list)  # occurrences of each
-    rest: list[np.ndarray] = field(default_factory=list)  # share left to the suffix; 1: not retained
-    entries: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys context * S + symbol, probabilities
-
-    @property
-    def width(self) -> int:
-        return max(len(self.symbols), 1)
-
-    def smooth(self, c):
-        return (c + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
-
-    def index(self, t: np.ndarray) -> np.ndarray:
-        return find(self.symbols, t)
-
-    def states(self, ids: np.ndarray, level: int, start: np.ndarray) -> list[np.ndarray]:
-        """For each level up to ``level``, the context that ends at each token, or -1. start: which tokens begin a document."""
-        out: list[np.ndarray] = []
-        for d in range(level):
-            before = np.zeros(len(ids), np.int64)
-            if d:
-                before[1:] = out[-1][:-1]
-                before[start] = -1
-            ok = (ids >= 0) & (before >= 0)
-            key = np.where(ok, before * self.width + ids, -1)
-            out.append(find(self.contexts[d], key))
-        return out
+class Bloom:
+    """A filter of keys: two bits of each, of at most BLOOM_BITS."""
+
+    mask: int
+    cells: np.ndarray
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Bloom:
+        """``keys``: (key), stored."""
+        n = 1024
+        while n < min(16 * keys.count(), BLOOM_BITS):
+            n *= 2
+        bits = keys.select(F.col("key").bitwiseAND(n - 1).alias("b")).union(keys.select(F.shiftrightunsigned("key", 32).bitwiseAND(n - 1).alias("b")))
+        cells = bits.select(F.shiftright("b", 6).alias("i"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("x")).groupBy("i").agg(F.bit_or("x").alias("x")).toArrow()
+        out = np.zeros(n // 64, np.int64)
+        out[np.asarray(cells.column(0).combine_chunks(), np.int64)] = np.asarray(cells.column(1).combine_chunks(), np.int64)
+        return cls(n - 1, out.view(np.uint64))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.uint64)
+        ok = np.ones(len(k), bool)
+        for b in (k & np.uint64(self.mask), (k >> np.uint64(32)) & np.uint64(self.mask)):
+            ok &= (self.cells[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) == 1
+        return ok
 
 
 def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -92,163 +109,205 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == x, i, -1)
 
 
-def counted(rows: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, n): how often each key comes up. keys(tokens of several documents, which of them begin one). Pre-aggregated in each task."""
+def over_blocks(rows: DataFrame, fn: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """``fn``(tokens of several documents, which of them begin one) gives columns of longs, the last one a count; summed for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
 
         def out() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["key", "n"])
+            size = np.array([len(t) for t in held])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in fn(np.concatenate(held), np.cumsum(size) - size)], names)
 
+        size = 0
         for batch in batches:
             for piece in C.pieces(batch):
-                ts = [tokens(t) for t in C.texts(piece)]
-                start = np.cumsum([0, *(len(t) for t in ts[:-1])])
-                held.append(keys(np.concatenate(ts), start))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield out()
-                    held, size = [], 0
+                for t in C.texts(piece):
+                    held.append(tokens(t))
+                    size += len(held[-1])
+                    if size >= FLUSH:
+                        yield out()
+                        held, size = [], 0
         if size:
             yield out()
 
-    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    each = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return each.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+
+def count_words(t: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    k, n = np.unique(t, return_counts=True)
+    return [k, n.astype(np.int64)]
 
 
-def train(rows: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree, and (key, n) of all words; ``rows``: doc_id, text of the training documents."""
+@dataclass
+class Model:
+    """Stored tables, and what all tasks get."""
+
+    total: int = 0
+    distinct: int = 0
+    words: DataFrame | None = None  # key, n
+    contexts: DataFrame | None = None  # key, size, rest: log10 of the share left to the suffix
+    entries: DataFrame | None = None  # key, gain: log10 of the probability over the base one
+    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    @property
+    def norm(self) -> float:
+        return float(self.total + ALPHA * (self.distinct + 1))
+
+
+def train(rows: DataFrame, depth: int = DEPTH) -> Model:
+    """The tree; ``rows``: doc_id, text of the training documents."""
     spark = rows.sparkSession
-    words = C.stored(counted(rows, lambda t, _: t))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = Tree(total, distinct)
+    words = C.stored(over_blocks(rows, count_words, ["key", "n"]))
+    total, distinct, top = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.max("n")).first()
+    model = Model(total, distinct, words)
     if not total:
-        return tree, words
-    top = words.where(F.col("n") >= max(2, SYMBOL_SHARE * total)).orderBy("key").toArrow()  # at most 1 / SYMBOL_SHARE rows
-    tree.symbols, tree.counts = (np.asarray(top.column(c).combine_chunks(), np.int64) for c in (0, 1))
-    width = tree.width
-    keep = tree.counts >= max(2, CONTEXT_SHARE * total)
-    keep &= tree.symbols != END
-    contexts, sizes = np.flatnonzero(keep), tree.counts[keep]
-    parent_counts: DataFrame | None = None
-    parent_of, parent_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return model
+    # the least power of two above which at most SYMBOLS words count, by a histogram
+    sizes = {r["p"]: r["k"] for r in words.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("k")).collect()}
+    least = min(p for p in range(64) if sum(k for q, k in sizes.items() if q >= p) <= SYMBOLS)
+    known = words.where(F.col("n") >= 1 << least).orderBy("key").toArrow()
+    model.symbols, model.counts = (np.asarray(known.column(c).combine_chunks(), np.int64) for c in (0, 1))
+    base = (F.col("n") + ALPHA) / model.norm
+    # of each sequence found MIN_ENTRY times: its count, that of its words but the last, its probability, and its last word's base probability
+    lower = words.where(F.col("n") >= MIN_ENTRY).select("key", "n", F.lit(total).cast("long").alias("size"), base.alias("p"), base.alias("b"))
+    contexts, entries, used = [], [], []
     for level in range(1, depth + 1):
-        if not len(contexts):
-            break
-        tree.contexts.append(contexts)
-        tree.sizes.append(sizes)
-        shared = spark.sparkContext.broadcast(tree)
-
-        def follow(t: np.ndarray, start: np.ndarray, level: int = level, shared=shared) -> np.ndarray:
-            m = shared.value
-            ids = m.index(t)
-            state = m.states(ids, level, start)[-1]
-            before = np.full(len(t), -1, np.int64)
-            before[1:] = state[:-1]
-            before[start] = -1
-            ok = (ids >= 0) & (before >= 0)
-            return before[ok] * m.width + ids[ok]
-
-        here = C.stored(counted(rows, follow).where("n > 1").select(F.expr(f"key div {width}").alias("context"), (F.col("key") % width).alias("symbol"), "n"))
+        keys = C.stored(lower.where((F.col("n") >= MIN_CONTEXT) & (F.col("key") != int(END))).select("key")) if level == 1 else C.stored(lower.where(F.col("n") >= MIN_CONTEXT).select("key"))
+        bloom = spark.sparkContext.broadcast(Bloom.of(keys))
+
+        def follow(t: np.ndarray, start: np.ndarray, level: int = level, bloom=bloom) -> list[np.ndarray]:
+            for _, before, last, both in grams(t, start, level):  # noqa: B007
+                pass
+            at = np.flatnonzero(bloom.value.has(before))
+            _, i, n = np.unique(both[at], return_index=True, return_counts=True)
+            return [before[at[i]], last[at[i]], n.astype(np.int64)]
+
+        pairs = C.stored(over_blocks(rows, follow, ["ctx", "last", "n"]).where(F.col("n") >= MIN_ENTRY))
+        bloom.unpersist()
+        C.discard(keys)
+
+        def key_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            k = joined(*(np.array(batch.column(i), np.int64) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], ["ctx", "last", "n", "key"])
+
+        named = pairs.mapInArrow(lambda batches: map(key_of, batches), "ctx long, last long, n long, key long")
+        of = lower.where((F.col("n") >= MIN_CONTEXT)).select(F.col("key").alias("ctx"), F.col("n").alias("size"))
+        sized = C.join_hot(named, of, ["ctx"], "size", total)
+        suffix = lower.select(F.col("key").alias("last"), F.col("n").alias("m"), (F.col("n") / F.col("size")).alias("q"), "p", "b")
+        both = C.stored(C.join_hot(sized, suffix, ["last"], "m", total).select("ctx", "key", "n", "size", "q", "p", "b"))
+        C.discard(pairs)
         # divergence from the suffix's distribution
-        if level == 1:
-            of = spark.createDataFrame(pa.table({"symbol": np.arange(len(tree.symbols)), "m": tree.counts}))
-            both = here.join(of, "symbol").select("context", "n", (F.col("m") / float(total)).alias("q"))
-        else:
-            up = spark.createDataFrame(pa.table({"context": np.arange(len(contexts)), "up": parent_of, "up_size": parent_size}))
-            was = parent_counts.select(F.col("context").alias("up"), "symbol", F.col("n").alias("m"))
-            both = here.join(F.broadcast(up), "context").join(was, ["up", "symbol"]).select("context", "n", (F.col("m") / F.col("up_size")).alias("q"))
-        size_of = spark.createDataFrame(pa.table({"context": np.arange(len(contexts)), "size": sizes}))
-        tests = both.join(F.broadcast(size_of), "context").groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("size") / F.col("q"))).alias("ratio"), F.count("*").alias("kinds"))
-        passed = np.sort(np.asarray(tests.where(F.col("ratio") - F.col("kinds") > 2 * np.log(total)).select("context").toArrow().column(0).combine_chunks(), np.int64))
-        kept = here.where(F.col("n") >= max(2, ENTRY_SHARE * total)).toArrow()  # at most 1 / ENTRY_SHARE rows
-        ctx, sym, n = (np.asarray(kept.column(i).combine_chunks(), np.int64) for i in range(3))
-        mine = np.isin(ctx, passed)
-        order = np.argsort(ctx[mine] * width + sym[mine])
-        k, v, c = (ctx[mine] * width + sym[mine])[order], ((n[mine] - DISCOUNT) / sizes[ctx[mine]])[order], ctx[mine][order]
-        tree.entries.append((k, v))
-        tree.rest.append(1.0 - np.bincount(c, v, len(contexts)))
-        # contexts one word longer
-        longer = ctx * width + sym
-        big = (n >= max(2, CONTEXT_SHARE * total)) & (tree.symbols[sym] != END)
-        order = np.argsort(longer[big])
-        new, new_sizes = longer[big][order], n[big][order]
-        # the suffix of a longer context drops its first word
-        if level < depth and len(new):
-            chain = sequences(tree, new, level)
-            parent_of = suffix_ids(tree, chain[:, 1:])
-            ok = parent_of >= 0
-            new, new_sizes, parent_of = new[ok], new_sizes[ok], parent_of[ok]
-            parent_size = sizes[parent_of]
-        parent_counts = here
-        contexts, sizes = new, new_sizes
-    return tree, words
-
-
-def sequences(tree: Tree, keys: np.ndarray, level: int) -> np.ndarray:
-    """The words of contexts of ``level`` + 1 words, from their keys."""
-    out = np.empty((len(keys), level + 1), np.int64)
-    for d in range(level, -1, -1):
-        out[:, d] = keys % tree.width
-        ctx = keys // tree.width
-        keys = tree.contexts[d - 1][ctx] if d else keys
-    return out
+        mass = F.sum((F.col("n") - DISCOUNT) / F.col("size"))
+        tests = both.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("size") / F.col("q"))).alias("ratio"), F.count("*").alias("kinds"), (1.0 - mass).alias("rest"), F.max("size").alias("s"))
+        passed = C.stored(tests.where(F.col("ratio") - F.col("kinds") > float(np.log(total))).select("ctx", "kinds", "rest", "s"))
+        kinds = passed.agg(F.sum("kinds")).first()[0] or 0
+        smooth = (F.col("n") - DISCOUNT) / F.col("size") + F.col("rest") * F.col("p")
+        now = C.stored(C.join_hot(both, passed, ["ctx"], "kinds", max(kinds, 1), "left").select("key", "n", "size", F.coalesce(smooth, "p").alias("p"), "b", F.col("rest").isNotNull().alias("own")))
+        C.discard(both, *used)
+        used = [now] if level < depth else []
+        contexts.append(passed.select(F.col("ctx").alias("key"), F.col("s").alias("size"), F.log10("rest").alias("rest")))
+        mine = now.where("own").select("key", "n", F.log10(F.col("p") / F.col("b")).alias("gain"))
+        entries.append(C.stored(mine))
+        lower = now.drop("own")
+    for t in used:
+        C.discard(t)
+    model.contexts, model.entries = contexts[0], entries[0]
+    for c, e in zip(contexts[1:], entries[1:]):
+        model.contexts, model.entries = model.contexts.union(c), model.entries.union(e)
+    return model
 
 
-def suffix_ids(tree: Tree, words: np.ndarray) -> np.ndarray:
-    """The context of the same number of words as the columns."""
-    at = np.zeros(len(words), np.int64)
-    for d in range(words.shape[1]):
-        at = np.where(at >= 0, find(tree.contexts[d], np.where(at >= 0, at * tree.width + words[:, d], -1)), -1)
-    return at
-
-
-def rates(tree: Tree, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token its symbol (-1: rare), the log10 base probability (rare: 0), and the log10 probability (rare: of leaving its state for the unigrams)."""
-    ids = tree.index(t)
-    known = ids >= 0
-    base = np.where(known, tree.smooth(tree.counts[np.maximum(ids, 0)]) if len(tree.counts) else 1.0, 1.0)
-    p = base.copy()
-    for d, state in enumerate(tree.states(ids, len(tree.contexts), start)):
-        before = np.full(len(t), -1, np.int64)
-        before[1:] = state[:-1]
-        before[start] = -1
-        at = np.flatnonzero(before >= 0)
-        if not len(at) or not len(tree.entries[d][0]):
-            continue
-        ctx = before[at]
-        p[at] *= tree.rest[d][ctx]
-        i = find(tree.entries[d][0], np.where(known[at], ctx * tree.width + ids[at], -1))
-        p[at] += np.where(i >= 0, tree.entries[d][1][np.maximum(i, 0)], 0.0)
-    return ids, np.log10(base), np.log10(p)
+@dataclass
+class Cached:
+    """A small tree: sorted keys with their values."""
+
+    contexts: np.ndarray
+    rest: np.ndarray
+    entries: np.ndarray
+    gain: np.ndarray
+
+    @classmethod
+    def of(cls, model: Model) -> Cached:
+        def arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+            t = df.select("key", value).toArrow()
+            k, v = (np.concatenate([np.asarray(x) for x in t.column(i).chunks] or [np.zeros(0)]) for i in (0, 1))
+            o = np.argsort(k)
+            return k.astype(np.int64)[o], v.astype(np.float64)[o]
+
+        return cls(*arrays(model.contexts, "rest"), *arrays(model.entries, "gain"))
+
+    def gains(self, t: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
+        """For each token, the log10 of its probability over the base one."""
+        out, done = np.zeros(len(t)), np.zeros(len(t), bool)
+        for at, before, _, both in reversed(list(grams(t, start, depth))):
+            left = ~done[at]
+            at, before, both = at[left], before[left], both[left]
+            i = find(self.entries, both)
+            hit = i >= 0
+            out[at[hit]] += self.gain[i[hit]]
+            done[at[hit]] = True
+            j = find(self.contexts, before[~hit])
+            out[at[~hit][j >= 0]] += self.rest[j[j >= 0]]
+        return out
 
 
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """A row for each document: tokens, known tokens, base score and the tree's score (log10 probability of the whole text)."""
     rows = split(docs)
     spark = docs.sparkSession
-    tree, words = train(rows.where("not held_out").select("doc_id", "text"), depth)
-    shared = spark.sparkContext.broadcast(tree)
+    model = train(rows.where("not held_out").select("doc_id", "text"), depth)
+    symbols, counts, norm = model.symbols, model.counts, model.norm
+    grown = model.contexts is not None
+    small = grown and model.contexts.count() + model.entries.count() <= CACHE
+    extra = (Cached.of(model) if small else Bloom.of(C.stored(model.contexts.select("key")))) if grown else None
+    shared = spark.sparkContext.broadcast((symbols, counts, extra))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
+        symbols, counts, tree = shared.value
         ts = [tokens(t) for t in C.texts(batch)]
         size = np.array([len(t) for t in ts])
         start = np.cumsum(size) - size
         t = np.concatenate(ts)
-        ids, base, score = rates(m, t, start)
+        ids = find(symbols, t)
+        base = np.zeros(len(t))
+        base[ids >= 0] = np.log10((counts[ids[ids >= 0]] + ALPHA) / norm)
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(start, len(t))).astype(np.int32)), values)
         rare = np.flatnonzero(ids < 0)
-        edges = np.concatenate([[0], np.cumsum(np.add.reduceat(ids < 0, start))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(t[rare]))
-        known = size - np.diff(edges)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(score, start)), lists], ["doc_id", "held_out", "row_id", "n_tokens", "known", "base", "score", "rare"])
-
-    part = C.stored(C.arrow_map(rows.withColumn("row_id", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row_id"), run, "doc_id long, held_out boolean, row_id long, n_tokens long, known long, base double, score double, rare array<long>"))
+        gain, open_ = np.zeros(len(t)), np.zeros(0, np.int64)
+        cells: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        if isinstance(tree, Cached):
+            gain = tree.gains(t, start, depth)
+        elif tree is not None:  # what may hang on a context is joined
+            found = [(at[ok], np.full(ok.sum(), d), before[ok], both[ok]) for d, (at, before, _, both) in enumerate(grams(t, start, depth), 1) if len(ok := tree.has(before))]
+            cells = [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]).astype(np.int64) for i in range(4)]
+            order = np.argsort(cells[0], kind="stable")
+            cells = [c[order] for c in cells]
+            open_ = cells[0]
+        known = size - np.diff(np.searchsorted(rare, np.append(start, len(t))))
+        structs = pa.StructArray.from_arrays([pa.array(c) for c in cells], ["tok", "level", "ctx", "key"])
+        cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(gain, start)), lists(rare, pa.array(t[rare])), lists(open_, structs)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "row_id", "n_tokens", "known", "base", "gain", "rare", "open"])
+
+    out = "doc_id long, held_out boolean, row_id long, n_tokens long, known long, base double, gain double, rare array<long>, open array<struct<tok long, level long, ctx long, key long>>"
+    part = C.stored(C.arrow_map(rows.withColumn("row_id", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row_id"), run, out))
     C.release(spark)
-    each = part.select("row_id", F.explode("rare").alias("key")).join(words, "key", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("c"))
-    norm = float(tree.total + ALPHA * (tree.distinct + 1))
-    more = each.groupBy("row_id").agg(F.sum(F.log10((F.col("c") + ALPHA) / norm)).alias("log"), F.sum((F.col("c") > 0).cast("long")).alias("seen"))
     zero = F.lit(0.0)
-    return part.drop("rare").join(more, "row_id", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("log", zero)).alias("base_score"), (F.col("score") + F.coalesce("log", zero)).alias("score"))
+    more = part.where("size(rare) > 0").select("row_id", F.explode("rare").alias("key"))
+    each = more.join(model.words, "key", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("c"))  # rare words only: none is hot
+    more = each.groupBy("row_id").agg(F.sum(F.log10((F.col("c") + ALPHA) / norm)).alias("log"), F.sum((F.col("c") > 0).cast("long")).alias("seen"))
+    rest = part.drop("rare", "open").join(more, "row_id", "left")
+    score = F.col("base") + F.coalesce("log", zero) + F.col("gain")
+    if grown and not small:
+        tokens_ = C.stored(part.where("size(open) > 0").select("row_id", F.explode("open").alias("x")).select("row_id", "x.tok", "x.level", "x.ctx", "x.key"))
+        of = C.join_hot(tokens_, model.contexts.select(F.col("key").alias("ctx"), "size", "rest"), ["ctx"], "size", model.total)
+        hit = C.join_hot(of.drop("size"), model.entries, ["key"], "n", model.total, "left")
+        hits = hit.groupBy("row_id", "tok").agg(F.collect_list(F.struct("level", "rest", "gain")).alias("x"))
+        top = F.coalesce(F.array_max(F.filter("x", lambda x: x["gain"].isNotNull())), F.struct(F.lit(0).cast("long").alias("level"), zero.alias("rest"), zero.alias("gain")))
+        left = F.aggregate("x", zero, lambda a, x: a + F.when(x["level"] > F.col("top")["level"], x["rest"]).otherwise(zero))
+        more = hits.withColumn("top", top).select("row_id", (F.col("top")["gain"] + left).alias("more")).groupBy("row_id").agg(F.sum("more").alias("more"))
+        rest = rest.join(more, "row_id", "left")
+        score = score + F.coalesce("more", zero)
+    return rest.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("log", zero)).alias("base_score"), score.alias("score"))

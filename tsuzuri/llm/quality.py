@@ -7,8 +7,8 @@ words are mostly gone is rejected. ``by="texts"`` counts distinct texts instead,
 lines frequent: for use before a stage that removes copies.
 
 Counting shuffles hashes, never texts: (host, line, document) is made distinct first, so a line that a third of all documents
-hold is spread over as many tasks as it has documents, then pre-aggregated. To find their rows, the lines that make up 1 / ``HOT``
-of all lines or more (so at most HOT of them) are broadcast, and all others, none of which is hot, are joined.
+hold is spread over as many tasks as it has documents, then pre-aggregated. To find their rows, very frequent lines are broadcast
+(their number is bounded, see ``common.join_hot``), and all others are joined.
 
 Defined results: null text has no words and fails the base rule; a null host is a host of its own; rows of one doc_id are one
 document (of a null doc_id: rows of one text); repeated rows count once and give equal rows; limits are met by equality (MAX_DOCS,
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MAX_DOCS, MIN_DOCS, MAX_SHARE, MIN_LEFT = 20, 5, 0.2, 0.5
-HOT = 100_000
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
 
@@ -111,11 +110,10 @@ def frequent_lines(rows: DataFrame, by: str = "documents", max_docs: int = MAX_D
 
 def holders(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(row_id, line, size): where the rows hold one of the ``lines`` (stored)."""
-    mine = rows.select("row_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row_id", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
+    mine = rows.select("row_id", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("none"), F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row_id", "h", "none", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
-    bad = lines.select(F.col("host").alias("h"), F.col("line").alias("l"), (F.col("docs") * HOT >= total).alias("hot"))
-    found = lambda b: mine.join(b, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).select("row_id", "line", "size")
-    return found(F.broadcast(bad.where("hot"))).union(found(bad.where("not hot")))
+    bad = lines.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("none"), "line", "docs")
+    return C.join_hot(mine, bad, ["h", "none", "line"], "docs", total).select("row_id", "line", "size")
 
 
 def verdicts(rows: DataFrame, lines: DataFrame, min_left: float = MIN_LEFT) -> DataFrame:
