@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tsuzuri.llm import common as C
 from tsuzuri.llm import debruijn, suffix_array
 from tsuzuri.llm import repeats as R
 
@@ -84,22 +85,34 @@ def test_small_blocks(spark, monkeypatch):
     assert (R.at_positions(u, at, 16) == x).all()
 
 
-def test_hot_stretches_over_several_shards(spark):
+def test_words_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT", 4)
+    rows = copies(5)
+    same(debruijn.dedup(table(spark, rows)).collect(), brute_words(rows))
+
+
+@pytest.mark.parametrize("bloom,shard", [(0, 1 << 20), (10_000_000, 300), (0, 1)])
+def test_bytes_joined_and_merged(spark, monkeypatch, bloom, shard):
+    """Anchors joined instead of filtered; every anchor's stretches over several shards, so that the merge decides."""
     rng = random.Random(3)
     core = "".join(rng.choice("abcdefgh") for _ in range(60))
-    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + core + rng.choice(["u", "v"]) * 90) for i in range(60)]
-    keyed = R.keyed(table(spark, rows))
-    spec = suffix_array.SPEC
-    occ = R.recurring(keyed, spec, within=True)
-    graph = R.nodes(occ)
-    both = suffix_array.open_stretches(keyed, R.visits(occ, graph, R.paths(graph), True), spec)
-    both = both.where("data is not null")
-    order = ["rk", "s", "e"]
-
-    def bytes_of(df):
-        return sorted({(r["rk"], p) for r in df.collect() for p in range(r["s"], r["e"])})
-
-    assert bytes_of(suffix_array.later_windows(both, spec, 300).select(order)) == bytes_of(suffix_array.later_windows(both, spec).select(order))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + core + rng.choice(["u", "v"]) * 90) for i in range(40)] + copies(8, 8)
+    monkeypatch.setattr(C, "HOT", 5)
+    monkeypatch.setattr(suffix_array.stretches, "__defaults__", (bloom,))
+    monkeypatch.setattr(suffix_array.later_windows, "__defaults__", (shard,))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # windows go on over batches
+    try:
+        same(suffix_array.dedup(table(spark, rows)).collect(), brute_bytes(rows))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_merge_is_one_exchange(spark):
+    rows = [(i, i, 0, 3, bytearray([i % 5] * 3)) for i in range(50)]
+    df = suffix_array.merged(spark.createDataFrame(rows, "ord long, rk long, s long, e long, window binary"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(window" in plan
+    assert sorted(r["ord"] for r in df.collect()) == list(range(5, 50))
 
 
 @pytest.mark.parametrize("seed", range(6))

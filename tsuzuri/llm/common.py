@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,33 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@dataclass
+class Bloom:
+    """A filter of long keys: two bits of each. What is in is always found; what is not may be found too, the more often the fuller it is."""
+
+    mask: int
+    cells: np.ndarray
+
+    @classmethod
+    def of(cls, keys: DataFrame, most: int = 1 << 28) -> Bloom:
+        """``keys``: (key), well mixed, stored. At most ``most`` bits, and as many reach the driver."""
+        n = 1024
+        while n < min(16 * keys.count(), most):
+            n *= 2
+        bits = keys.select(F.col("key").bitwiseAND(n - 1).alias("b")).union(keys.select(F.shiftrightunsigned("key", 32).bitwiseAND(n - 1).alias("b")))
+        cells = bits.select(F.shiftright("b", 6).alias("i"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("x")).groupBy("i").agg(F.bit_or("x").alias("x")).toArrow()
+        out = np.zeros(n // 64, np.int64)
+        out[np.asarray(cells.column(0).combine_chunks(), np.int64)] = np.asarray(cells.column(1).combine_chunks(), np.int64)
+        return cls(n - 1, out.view(np.uint64))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.uint64)
+        ok = np.ones(len(k), bool)
+        for b in (k & np.uint64(self.mask), (k >> np.uint64(32)) & np.uint64(self.mask)):
+            ok &= (self.cells[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) == 1
+        return ok
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about SLICE_CHARS bytes of text (a longer text stands alone)."""
     n = batch.num_rows

@@ -27,17 +27,16 @@ _SECOND = 0xD1342543DE82EF95
 
 
 def repeated_spans(rows: DataFrame, spec: R.Spec = SPEC) -> DataFrame:
-    """(rk, spans): for each document the starts and ends of the word spans to remove; stored. ``rows`` from ``repeats.keyed``."""
-    spark = rows.sparkSession
-    occ = R.recurring(rows, spec, within=False)
+    """(ord, rk, spans): for each document the starts and ends of the word spans to remove; stored. ``rows`` from ``repeats.keyed``."""
+    occ = R.recurring(rows, spec)
     graph = R.nodes(occ)
-    seen = R.visits(occ, graph, R.paths(graph), False)
-    C.release(spark)
+    seen = R.visits(occ, graph, R.paths(graph))
+    C.discard(occ, graph)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = batch.column(3)
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        ids, rks = np.array(batch.column(0).fill_null(-(1 << 63)), np.int64), np.array(batch.column(2), np.int64)
+        ids, rks = (np.array(batch.column(i), np.int64) for i in (0, 2))
         for i, text in enumerate(C.texts(batch)):
             u = R.units(text, spec)
             spans, open_ = R.doc_windows(u, found[i].values, spec)
@@ -45,7 +44,7 @@ def repeated_spans(rows: DataFrame, spec: R.Spec = SPEC) -> DataFrame:
                 for c, v in zip(out, (np.full(len(spans), rks[i]), np.full(len(spans), ids[i]), spans[:, 0], spans[:, 1], np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64))):
                     c.append(v)
             if open_:
-                at = np.concatenate([x for x, _ in open_])
+                at = np.concatenate(open_)
                 one, two = (H.span_hash(H.prefixes(u, base), at, at + spec.length, base).view(np.int64) for base in (H._B, _SECOND))
                 for c, v in zip(out, (np.full(len(at), rks[i]), np.full(len(at), ids[i]), at, np.zeros(len(at), np.int64), one, two)):
                     c.append(v)
@@ -54,13 +53,14 @@ def repeated_spans(rows: DataFrame, spec: R.Spec = SPEC) -> DataFrame:
         cols = [np.concatenate(c).astype(np.int64) for c in out]
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols[:5]), pa.array(cols[5].astype(np.int32))], ["rk", "ord", "s", "e", "h1", "h2"])
 
-    both = C.stored(C.arrow_map(rows.join(seen, "rk").select("doc_id", "text", "rk", "found"), run, "rk long, ord long, s long, e long, h1 long, h2 int"))
-    C.release(spark)
-    windows = both.where("e = 0")
-    least = windows.groupBy("h1", "h2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").drop("hi")
-    gone = windows.join(least, ["h1", "h2"]).where("ord > lo").select("rk", "s", (F.col("s") + spec.length).alias("e"))
-    out = C.stored(both.where("e > 0").select("rk", "s", "e").union(gone).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    C.release(spark)
+    both = C.stored(C.arrow_map(rows.join(seen, ["ord", "rk"]).select("ord", "text", "rk", "found"), run, "rk long, ord long, s long, e long, h1 long, h2 int"))
+    C.discard(seen)
+    windows = both.where("e = 0").drop("e")
+    least = C.stored(windows.groupBy("h1", "h2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi"))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    gone = C.join_hot(windows, least, ["h1", "h2"], "n", max(total, 1)).where("ord > lo").select("ord", "rk", "s", (F.col("s") + spec.length).alias("e"))
+    out = C.stored(both.where("e > 0").select("ord", "rk", "s", "e").union(gone).groupBy("ord", "rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    C.discard(both, least)
     return out
 
 
@@ -95,4 +95,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return C.arrow_map(rows.join(spans, "rk", "left").select("doc_id", "text", "spans"), run, OUT)
+    return C.arrow_map(rows.join(spans, ["ord", "rk"], "left").select("doc_id", "text", "spans"), run, OUT)

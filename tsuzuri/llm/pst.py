@@ -74,33 +74,6 @@ def split(docs: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0)
 
 
-@dataclass
-class Bloom:
-    """A filter of keys: two bits of each, of at most BLOOM_BITS."""
-
-    mask: int
-    cells: np.ndarray
-
-    @classmethod
-    def of(cls, keys: DataFrame) -> Bloom:
-        """``keys``: (key), stored."""
-        n = 1024
-        while n < min(16 * keys.count(), BLOOM_BITS):
-            n *= 2
-        bits = keys.select(F.col("key").bitwiseAND(n - 1).alias("b")).union(keys.select(F.shiftrightunsigned("key", 32).bitwiseAND(n - 1).alias("b")))
-        cells = bits.select(F.shiftright("b", 6).alias("i"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("x")).groupBy("i").agg(F.bit_or("x").alias("x")).toArrow()
-        out = np.zeros(n // 64, np.int64)
-        out[np.asarray(cells.column(0).combine_chunks(), np.int64)] = np.asarray(cells.column(1).combine_chunks(), np.int64)
-        return cls(n - 1, out.view(np.uint64))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        k = keys.view(np.uint64)
-        ok = np.ones(len(k), bool)
-        for b in (k & np.uint64(self.mask), (k >> np.uint64(32)) & np.uint64(self.mask)):
-            ok &= (self.cells[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) == 1
-        return ok
-
-
 def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Index of each x in sorted keys, or -1."""
     if not len(keys):
@@ -176,7 +149,7 @@ def train(rows: DataFrame, depth: int = DEPTH) -> Model:
     contexts, entries, used = [], [], []
     for level in range(1, depth + 1):
         keys = C.stored(lower.where((F.col("n") >= MIN_CONTEXT) & (F.col("key") != int(END))).select("key")) if level == 1 else C.stored(lower.where(F.col("n") >= MIN_CONTEXT).select("key"))
-        bloom = spark.sparkContext.broadcast(Bloom.of(keys))
+        bloom = spark.sparkContext.broadcast(C.Bloom.of(keys, BLOOM_BITS))
 
         def follow(t: np.ndarray, start: np.ndarray, level: int = level, bloom=bloom) -> list[np.ndarray]:
             for _, before, last, both in grams(t, start, level):  # noqa: B007
@@ -262,7 +235,7 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     symbols, counts, norm = model.symbols, model.counts, model.norm
     grown = model.contexts is not None
     small = grown and model.contexts.count() + model.entries.count() <= CACHE
-    extra = (Cached.of(model) if small else Bloom.of(C.stored(model.contexts.select("key")))) if grown else None
+    extra = (Cached.of(model) if small else C.Bloom.of(C.stored(model.contexts.select("key")), BLOOM_BITS)) if grown else None
     shared = spark.sparkContext.broadcast((symbols, counts, extra))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

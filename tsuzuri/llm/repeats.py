@@ -9,6 +9,7 @@ node's path and place. Occurrences of a path are then equal texts by constructio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,9 +110,9 @@ def at_positions(u: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key of both: rows with equal keys are equal and get equal results."""
+    """doc_id, text (null: empty), ``ord`` (doc_id, a null one before all others) and ``rk``, a hash of the text. Rows that agree in ord and rk are equal and get equal results."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("rk", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 62))), F.col("doc_id").isNull(), "text"))
+    return rows.withColumns({"ord": F.coalesce("doc_id", F.lit(-(1 << 63))), "rk": F.xxhash64("text")})
 
 
 def occurrences(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -126,30 +127,28 @@ def occurrences(rows: DataFrame, spec: Spec) -> DataFrame:
         ends = np.cumsum([len(x) for x in us])
         at, x, leave, enter, doc = sample(np.concatenate(us), ends, spec)
         start = (ends - np.array([len(x) for x in us]))[doc]
-        ids = np.array(batch.column(0).fill_null(-(1 << 63)), np.int64)[keep][doc]
-        rk = np.array(batch.column(2), np.int64)[keep][doc]
+        ids, rk = (np.array(batch.column(i), np.int64)[keep][doc] for i in (0, 2))
         cols = [x.view(np.int64), rk, ids, (at - start).astype(np.int64), leave.view(np.int64), enter.view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "rk", "ord", "pos", "leave", "enter"])
 
-    return C.arrow_map(rows.select("doc_id", "text", "rk"), run, "a long, rk long, ord long, pos long, leave long, enter long")
+    return C.arrow_map(rows.select("ord", "text", "rk"), run, "a long, rk long, ord long, pos long, leave long, enter long")
 
 
-def recurring(rows: DataFrame, spec: Spec, within: bool) -> DataFrame:
-    """The occurrences of anchors found in two documents or more (with ``within``: found twice or more), stored."""
+def recurring(rows: DataFrame, spec: Spec) -> DataFrame:
+    """The occurrences of anchors found in two documents or more, with their number ``n``; stored."""
     occ = occurrences(rows, spec)
-    if within:
-        often = occ.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    else:
-        often = occ.groupBy("a").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("a")
-    often = C.stored(often)
+    often = C.stored(occ.groupBy("a").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("a", "n"))
     C.release(rows.sparkSession)
-    return C.stored(occ.join(often, "a"))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    out = C.stored(C.join_hot(occ, often, ["a"], "n", max(total, 1)))
+    C.discard(often)
+    return out
 
 
 def nodes(occ: DataFrame) -> DataFrame:
     """For each recurring anchor: its first occurrence, and the one edge by which all occurrences leave or enter, if there is one."""
     one = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c))
-    return C.stored(occ.groupBy("a").agg(F.min(F.struct("ord", "rk", "pos")).alias("first"), one("leave").alias("out"), one("enter").alias("into")))
+    return C.stored(occ.groupBy("a").agg(F.min(F.struct("ord", "rk", "pos")).alias("first"), F.max("n").alias("n"), one("leave").alias("out"), one("enter").alias("into")))
 
 
 def paths(graph: DataFrame, rounds: int = 40) -> DataFrame:
@@ -160,54 +159,56 @@ def paths(graph: DataFrame, rounds: int = 40) -> DataFrame:
     at = C.stored(graph.select("a").join(link, "a", "left").select("a", F.coalesce("up", "a").alias("head"), F.coalesce("hops", F.lit(0)).alias("place")))
     for _ in range(rounds):
         nxt = at.where("place > 0").select(F.col("a").alias("head"), F.col("head").alias("up"), F.col("place").alias("hops"))
-        at = C.stored(at.join(nxt, "head", "left").select("a", F.coalesce("up", "head").alias("head"), (F.col("place") + F.coalesce("hops", F.lit(0))).alias("place"), F.col("up").isNotNull().alias("moved")))
+        was, at = at, C.stored(at.join(nxt, "head", "left").select("a", F.coalesce("up", "head").alias("head"), (F.col("place") + F.coalesce("hops", F.lit(0))).alias("place"), F.col("up").isNotNull().alias("moved")))
+        C.discard(was)
         if at.where("moved").limit(1).count() == 0:
             break
     return at.select("a", "head", "place")
 
 
-def visits(occ: DataFrame, graph: DataFrame, path: DataFrame, within: bool) -> DataFrame:
-    """(rk, found): for each document its recurring anchors, stored; by their path alone, ``state`` says of the windows within it:
+def visits(occ: DataFrame, graph: DataFrame, path: DataFrame) -> DataFrame:
+    """(ord, rk, found): for each document its recurring anchors, stored; ``state`` says of the windows within an anchor's path: 2, found in a document with a smaller id, or 1.
 
-    2: found earlier (in a document with a smaller id; with ``within`` also earlier in this one). 1: found first here. 0: open (another row has the same id).
     at_begin, at_end: the path reaches the document's begin or end in all its occurrences."""
-    node = graph.join(path, "a").select("a", "first", "head", "place", F.coalesce(F.col("into").bitwiseAND(3) == 1, F.lit(False)).alias("at_begin"), F.coalesce(F.col("out").bitwiseAND(3) == 3, F.lit(False)).alias("at_end"))
-    later = F.col("first.ord") < F.col("ord")
-    if within:
-        own = F.col("first.rk") == F.col("rk")
-        state = F.when(later | own & (F.col("first.pos") < F.col("pos")), 2).when(own, 1).otherwise(0)
-    else:
-        state = F.when(later, 2).otherwise(1)
-    rows = occ.select("a", "rk", "ord", "pos").join(node, "a").select("rk", F.struct("pos", "head", "place", state.cast("tinyint").alias("state"), "at_begin", "at_end").alias("v"))
-    return C.stored(rows.groupBy("rk").agg(F.collect_set("v").alias("found")))
+    node = C.stored(graph.join(path, "a").select("a", "n", F.col("first.ord").alias("least"), "head", "place", F.coalesce(F.col("into").bitwiseAND(3) == 1, F.lit(False)).alias("at_begin"), F.coalesce(F.col("out").bitwiseAND(3) == 3, F.lit(False)).alias("at_end")))
+    total = node.agg(F.sum("n")).first()[0] or 0
+    state = F.when(F.col("least") < F.col("ord"), 2).otherwise(1)
+    rows = C.join_hot(occ.select("a", "rk", "ord", "pos"), node, ["a"], "n", max(total, 1)).select("ord", "rk", F.struct("pos", "head", "place", state.cast("tinyint").alias("state"), "at_begin", "at_end").alias("v"))
+    out = C.stored(rows.groupBy("ord", "rk").agg(F.collect_set("v").alias("found")))
+    C.discard(node)
+    return out
 
 
-def doc_windows(u: np.ndarray, found: list[dict] | pa.StructArray, spec: Spec):
-    """Of one document: spans that are copies of an earlier text as a whole, and for blocks (starts, hashes of their anchors) of open windows.
+def least_anchors(u: np.ndarray, spec: Spec) -> Iterator[tuple[int, np.ndarray]]:
+    """In blocks: the first window's start, and each window's least k-gram."""
+    for a in range(0, len(u) - spec.length + 1, BLOCK):
+        b = min(a + BLOCK, len(u) - spec.length + 1)
+        yield a, H.sliding(H.windows(H.prefixes(values(u[a : b + spec.length - 1])), spec.k), spec.w, np.minimum)
+
+
+def doc_windows(u: np.ndarray, found: pa.StructArray, spec: Spec):
+    """Of one document: spans that are copies of an earlier text as a whole, and in blocks the starts of open windows.
 
     A window within a path's text holds an anchor of the path, so whoever else has the window has the whole path: the path's first occurrence keeps it,
     all others lose it, and only windows over a path's ends are left to compare."""
     pos = np.asarray(found.field("pos"), np.int64)
     o = np.argsort(pos, kind="stable")
     pos, head, place, state, at_begin, at_end = (np.asarray(found.field(c))[o].astype(np.int64) for c in ("pos", "head", "place", "state", "at_begin", "at_end"))
-    n, k, w, length = len(u), spec.k, spec.w, spec.length
+    n, k, length = len(u), spec.k, spec.length
     cut = np.flatnonzero(~((head[1:] == head[:-1]) & (place[1:] == place[:-1] + 1) & (state[1:] == state[:-1]))) + 1
     first, last = np.concatenate([[0], cut]).astype(int), np.concatenate([cut - 1, [len(pos) - 1]]).astype(int)
     a, b = np.where(at_begin[first] > 0, 0, pos[first]), np.where(at_end[last] > 0, n, pos[last] + k)
-    whole = (state[first] > 0) & (b - a >= length)
+    whole = b - a >= length
     settled = np.stack([a[whole], b[whole]], 1)
     spans = settled[state[first][whole] == 2]
-    open_: list[tuple[np.ndarray, np.ndarray]] = []
+    open_: list[np.ndarray] = []
     known = np.unique(at_positions(u, pos, k))
-    for s0 in range(0, n - length + 1, BLOCK):
-        s1 = min(s0 + BLOCK, n - length + 1)
-        x = H.windows(H.prefixes(values(u[s0 : s1 + length - 1])), k)
-        low = H.sliding(x, w, np.minimum)
+    for s0, low in least_anchors(u, spec):
         where = np.minimum(np.searchsorted(known, low), len(known) - 1)
         mine = known[where] == low
-        for p, q in settled[np.searchsorted(settled[:, 1], s0) : np.searchsorted(settled[:, 0], s1)].tolist():
+        for p, q in settled[np.searchsorted(settled[:, 1], s0) : np.searchsorted(settled[:, 0], s0 + len(low))].tolist():
             mine[max(0, p - s0) : max(0, q - length + 1 - s0)] = False
         at = np.flatnonzero(mine)
         if len(at):
-            open_.append((at + s0, low[at]))
+            open_.append(at + s0)
     return spans, open_

@@ -1,19 +1,21 @@
 """Suffix-array dedup of bytes.
 
-Candidate windows of 100 bytes come from ``repeats``: those whose least sampled k-gram recurs. Windows within a path of k-grams
-that always occur together are settled there; every other one goes, with its bytes, to the shard of its least k-gram's hash, so
-equal windows meet. Windows whose hash is alone in its shard are set aside. Each shard sorts the suffixes of the others by
-Larsson-Sadakane refinement in numpy (prefix doubling in which only unsorted groups are refined), takes common prefixes of
-neighbours by Kasai's inequality in its vectorised form (irreducible values by comparison, the others by counting down), and
-reports for each group of equal windows all but the earliest.
+Candidates: of the k-grams in each window of 100 bytes the one of least hash is its anchor, so equal windows have equal anchors, and only
+windows whose anchor is found twice or more in the corpus can recur. The stretch of bytes that consecutive windows of one anchor
+make up goes to the shard of the anchor's hash, so equal windows meet. This only picks candidates: a filter that lets more pass costs
+work, and changes nothing. Up to ``BLOOM_KEYS`` recurring anchors go to all tasks as a Bloom filter; more are joined to the documents.
 
-Shards hold about ``SHARD_BYTES``. A k-gram whose stretches exceed that is salted over several shards; of these each keeps the
-earliest of its windows, and sorted ranges of the kept windows are merged across shards: Spark's range partitioner places them
-by binary search among sampled windows, and equal neighbours are compared.
+Each shard sorts all suffixes of its distinct stretches by Larsson-Sadakane refinement in numpy (prefix doubling in which only
+unsorted groups are refined), takes common prefixes of neighbours by Kasai's inequality in its vectorised form (irreducible values
+by comparison, the others by counting down), and so finds the groups of equal windows; all but a group's earliest occurrence go.
+
+Shards hold about ``SHARD_BYTES``. An anchor whose stretches exceed that is salted over several shards. Of each window these keep the
+earliest occurrences, and the sorted windows are merged across shards: a range partitioner places each by binary search among
+sampled windows, and neighbours in the sorted ranges are compared.
 
 Defined results: null or empty text has no bytes (digest of the empty string); a null doc_id comes before all others; rows with
-one doc_id never count as earlier than one another, a row's own earlier bytes do; an empty table gives an empty result; other
-columns are ignored.
+one doc_id never count as earlier than one another, a row's own earlier bytes do; repeated rows get equal rows; a text is read whole in
+blocks, whatever its length; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +24,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import hashing as H
 from . import repeats as R
 from .debruijn import covered
 
 SPEC = R.Spec("bytes", 100, 32)
-SHARD_BYTES, LEAST_SHARDS = 1 << 20, 256
+SHARD_BYTES, LEAST_SHARDS, BLOOM_KEYS = 1 << 20, 256, 10_000_000
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -101,29 +103,6 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return out
 
 
-def recurring_parts(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, start, end) of the stretches whose windows' hashes come up twice or more. What is left out equals nothing here."""
-    sizes = np.array([len(p) for p in parts], np.int64)
-    t = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    step = np.zeros(len(t) + 1, np.int64)
-    long = sizes >= length
-    step[starts[long]] += 1
-    step[(starts + sizes - length + 1)[long]] -= 1
-    at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-    h = H.windows(H.prefixes(R.values(t)), length)[at]
-    order = np.sort(h)
-    twice = order[1:][order[1:] == order[:-1]]
-    if not len(twice):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    at = at[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h]
-    cut = np.flatnonzero(at[1:] != at[:-1] + 1) + 1
-    first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
-    part = np.searchsorted(starts, first, "right") - 1
-    return part, first - starts[part], last - starts[part] + length
-
-
 def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of ``length`` bytes within the parts: (group, part, offset), groups numbered, by suffix array and common prefixes."""
     if not parts:
@@ -142,95 +121,150 @@ def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return group[whole], part[whole], offset[whole]
 
 
-def open_stretches(rows: DataFrame, seen: DataFrame, spec: R.Spec) -> DataFrame:
-    """Settled spans (bytes null), and stretches of text for the open windows, by k-gram hash; stored."""
+def recurring_anchors(rows: DataFrame, spec: R.Spec) -> DataFrame:
+    """(key, n) of the anchors found twice or more; stored. Counted in each batch first."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = batch.column(3)
-        out: list[list] = [[] for _ in range(6)]
-        ids, rks = np.array(batch.column(0).fill_null(-(1 << 63)), np.int64), np.array(batch.column(2), np.int64)
+        us = [u for t in C.texts(batch) if len(u := R.units(t, spec)) >= spec.length]
+        if not us:
+            return None
+        x = R.sample(np.concatenate(us), np.cumsum([len(u) for u in us]), spec)[1]
+        k, n = np.unique(x.view(np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return C.stored(C.arrow_map(rows.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+
+
+def stretches(rows: DataFrame, spec: R.Spec, bloom_keys: int = BLOOM_KEYS) -> DataFrame:
+    """(a, ord, rk, s, data): the bytes of consecutive windows whose anchor ``a`` recurs, from byte s of a document; stored."""
+    often = recurring_anchors(rows, spec)
+    small = often.count() <= bloom_keys
+    shared = rows.sparkSession.sparkContext.broadcast(C.Bloom.of(often.select("key"))) if small else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out: list[list] = [[] for _ in range(5)]
+        ids, rks = (np.array(batch.column(i), np.int64) for i in (0, 2))
         for i, text in enumerate(C.texts(batch)):
             data = text.encode()
-            spans, open_ = R.doc_windows(np.frombuffer(data, np.uint8), found[i].values, spec)
-            for s, e in spans.tolist():
-                for c, v in zip(out, (0, rks[i], ids[i], s, e, None)):
-                    c.append(v)
-            for at, low in open_:
-                cut = np.flatnonzero((at[1:] != at[:-1] + 1) | (low[1:] != low[:-1])) + 1
-                for f, g in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
-                    s, e = int(at[f]), int(at[g - 1]) + spec.length
-                    for c, v in zip(out, (low[f].view(np.int64), rks[i], ids[i], s, e, data[s:e])):
+            u = R.units(text, spec)
+            mine = None if small else np.sort(np.asarray(batch.column(3)[i].values, np.int64))
+            for s0, low in R.least_anchors(u, spec):
+                first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+                key = low[first].view(np.int64)
+                ok = shared.value.has(key) if small else mine[np.minimum(np.searchsorted(mine, key), len(mine) - 1)] == key
+                last = np.append(first[1:], len(low)) - 1
+                for a, f, g in zip(key[ok].tolist(), (first[ok] + s0).tolist(), (last[ok] + s0 + spec.length).tolist()):
+                    for c, v in zip(out, (a, ids[i], rks[i], f, data[f:g])):
                         c.append(v)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in out[:5]), pa.array(out[5], pa.binary())], ["a", "rk", "ord", "s", "e", "data"])
+        return pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in out[:4]), pa.array(out[4], pa.binary())], ["a", "ord", "rk", "s", "data"])
+
+    source = rows.select("ord", "text", "rk")
+    if not small:
+        occ = R.occurrences(rows, spec).select(F.col("a").alias("key"), "ord", "rk").distinct()
+        total = often.agg(F.sum("n")).first()[0]
+        of = C.join_hot(C.stored(occ), often, ["key"], "n", total).groupBy("ord", "rk").agg(F.collect_list("key").alias("keys"))
+        source = rows.join(of, ["ord", "rk"]).select("ord", "text", "rk", "keys")
+    out = C.stored(C.arrow_map(source, run, "a long, ord long, rk long, s long, data binary"))
+    C.discard(often)
+    return out
+
 
-    return C.stored(C.arrow_map(rows.join(seen, "rk").select("doc_id", "text", "rk", "found"), run, "a long, rk long, ord long, s long, e long, data binary"))
+def as_spans(ids: tuple[np.ndarray, np.ndarray], pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of windows of one row that touch; sorted by row and position."""
+    if not len(pos):
+        return np.zeros(0, int), np.zeros(0, int)
+    cut = np.flatnonzero((ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | (pos[1:] > pos[:-1] + length)) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(pos)]]) - 1
+
+
+def later(group: np.ndarray, o: np.ndarray, r: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which occurrences, sorted by group, row and position, have an earlier one in their group."""
+    at = np.arange(len(group))
+    head = np.concatenate([[True], group[1:] != group[:-1]])
+    own = head | np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])])
+    first, mine = (np.maximum.accumulate(np.where(x, at, 0)) for x in (head, own))
+    return (o > o[first]) | (pos > pos[mine])
+
+
+def within_shard(table: pa.Table, length: int) -> pa.Table:
+    """Spans to remove (window null), and of a salted shard the windows that stay, with their bytes."""
+    o, r, s = (table.column(c).to_numpy() for c in ("ord", "rk", "s"))
+    data = table.column("data").combine_chunks().dictionary_encode()
+    salted = table.column("salted")[0].as_py()
+    parts, which = data.dictionary.to_pylist(), np.asarray(data.indices)
+    # equal stretches are sorted once
+    group, part, offset = equal_windows(parts, length)
+    order = np.argsort(which, kind="stable")
+    held = np.bincount(which, minlength=len(parts))
+    begin = np.cumsum(held) - held
+    if not salted:
+        many = np.bincount(group, held[part]) > 1
+        pick = many[group]
+        group, part, offset = group[pick], part[pick], offset[pick]
+    n = held[part]
+    row = order[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    group, part, offset = (np.repeat(x, n) for x in (group, part, offset))
+    pos, o, r = s[row] + offset, o[row], r[row]
+    order = np.lexsort((pos, r, o, group))
+    group, part, offset, pos, o, r = (x[order] for x in (group, part, offset, pos, o, r))
+    gone = later(group, o, r, pos) if len(group) else np.zeros(0, bool)
+    left = np.flatnonzero(~gone) if salted else np.zeros(0, int)
+    at = np.flatnonzero(gone)
+    at = at[np.lexsort((pos[at], r[at], o[at]))]
+    f, g = as_spans((o[at], r[at]), pos[at], length)
+    keys = pa.array([parts[part[i]][offset[i] : offset[i] + length] for i in left.tolist()], pa.binary())
+    cols = [np.concatenate([x[at][f], x[left]]) for x in (o, r, pos)] + [np.concatenate([pos[at][g], pos[left]]) + length]
+    return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), pa.concat_arrays([pa.nulls(len(f), pa.binary()), keys])], names=["ord", "rk", "s", "e", "window"])
+
+
+def merged(kept: DataFrame) -> DataFrame:
+    """(ord, rk, s, e) of windows that also start earlier, in another shard: sorted ranges, in which neighbours are compared."""
+
+    def run(batches):
+        last: dict | None = None  # of the window that the last batch ended in: its bytes, least ord, and its last row with that row's first position
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            o, r, s, e = (np.array(batch.column(i), np.int64) for i in range(4))
+            w = batch.column(4)
+            new = np.concatenate([[last is None or w[0].as_py() != last["window"]], np.asarray(pc.not_equal(w.slice(1), w.slice(0, len(w) - 1)))])
+            own = new | np.concatenate([[last is None or (o[0], r[0]) != last["row"]], (o[1:] != o[:-1]) | (r[1:] != r[:-1])])
+            at = np.arange(len(o))
+            head, mine = (np.maximum.accumulate(np.where(x, at, -1)) for x in (new, own))
+            least, start = o[np.maximum(head, 0)], s[np.maximum(mine, 0)]
+            if last is not None:
+                least[head < 0], start[mine < 0] = last["least"], last["start"]
+            gone = (o > least) | (s > start)
+            last = {"window": w[-1].as_py(), "least": least[-1], "row": (o[-1], r[-1]), "start": start[-1]}
+            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (o, r, s, e)], ["ord", "rk", "s", "e"])
+
+    ranges = kept.repartitionByRange("window").sortWithinPartitions("window", "ord", "rk", "s")
+    return ranges.mapInArrow(run, "ord long, rk long, s long, e long")
 
 
 def later_windows(open_: DataFrame, spec: R.Spec, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(rk, s, e): spans of the windows whose bytes also start earlier."""
+    """(ord, rk, s, e): spans of the windows whose bytes also start earlier. ``open_`` from stretches()."""
+    sizes = open_.groupBy("a").agg(F.sum(F.length("data")).alias("size")).where(F.col("size") > shard_bytes)
+    hot = C.stored(sizes.select("a", "size", F.ceil(F.col("size") / shard_bytes).cast("long").alias("salts")))
     total = open_.agg(F.sum(F.length("data"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, int(total // shard_bytes) + 1)
-    hot = open_.groupBy("a").agg(F.sum(F.length("data")).alias("size")).where(F.col("size") > shard_bytes).select("a", F.ceil(F.col("size") / shard_bytes).cast("long").alias("salts"))
-    salted = F.coalesce("salts", F.lit(1)) > 1
-    placed = open_.join(hot, "a", "left").select("rk", "ord", "s", "data", salted.alias("hot"), F.when(salted, F.xxhash64("a", F.pmod(F.xxhash64("rk", "s"), F.col("salts")))).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards))).alias("shard"))
-    length = spec.length
-
-    def run(table: pa.Table) -> pa.Table:
-        rk, ord_, s = (table.column(c).to_numpy() for c in ("rk", "ord", "s"))
-        data = table.column("data").to_pylist()
-        is_hot = bool(table.num_rows) and table.column("hot")[0].as_py()
-        if not is_hot:
-            part, a, b = recurring_parts(data, length)
-            rk, ord_, s = rk[part], ord_[part], s[part] + a
-            data = [data[i][x:y] for i, x, y in zip(part.tolist(), a.tolist(), b.tolist())]
-        group, part, offset = equal_windows(data, length)
-        pos, o, r = s[part] + offset, ord_[part], rk[part]
-        order = np.lexsort((pos, r, o, group))
-        group, pos, o, r, part, offset = (x[order] for x in (group, pos, o, r, part, offset))
-        head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-        first = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0)) if len(group) else np.zeros(0, int)
-        own = np.concatenate([[True], head[1:] | (r[1:] != r[:-1])]) if len(group) else head
-        mine = np.maximum.accumulate(np.where(own, np.arange(len(group)), 0)) if len(group) else first
-        later = (o > o[first]) | (pos > pos[mine])
-        left = np.flatnonzero(~later) if is_hot else np.zeros(0, int)
-        gone = np.flatnonzero(later)
-        gone = gone[np.lexsort((pos[gone], r[gone]))]
-        p, q = pos[gone], r[gone]
-        if len(gone):  # neighbouring windows of one row become one span
-            cut = np.flatnonzero((q[1:] != q[:-1]) | (p[1:] > p[:-1] + length)) + 1
-            f, g = np.concatenate([[0], cut]), np.concatenate([cut, [len(p)]]) - 1
-        else:
-            f = g = np.zeros(0, int)
-        null = pa.nulls(len(f), pa.binary())
-        keys = pa.array([data[part[i]][offset[i] : offset[i] + length] for i in left.tolist()], pa.binary())
-        cols = [np.concatenate([q[f], r[left]]), np.concatenate([np.zeros(len(f), np.int64), o[left]]), np.concatenate([p[f], pos[left]]), np.concatenate([p[g] + length, pos[left] + length])]
-        return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), pa.concat_arrays([null, keys])], names=["rk", "ord", "s", "e", "window"])
-
-    out = C.stored(placed.groupBy("shard").applyInArrow(run, "rk long, ord long, s long, e long, window binary"))
-    gone = out.where("window is null").select("rk", "s", "e")
-    if hot.limit(1).count():
-        kept = out.where("window is not null").repartitionByRange(F.col("window"), F.col("ord")).sortWithinPartitions("window", "ord")
-        least = kept.groupBy("window").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("n > 1").select("window", "lo")
-        both = out.where("window is not null").join(least, "window")
-        mine = both.groupBy("window", "rk").agg(F.min("s").alias("s0"))
-        gone = gone.union(both.join(mine, ["window", "rk"]).where("ord > lo or s > s0").select("rk", "s", "e"))
-    return gone
+    shards, length = max(LEAST_SHARDS, int(total // shard_bytes) + 1), spec.length
+    salted = F.col("salts").isNotNull()
+    salt = F.xxhash64("a", F.pmod(F.xxhash64("ord", "rk", "s"), F.col("salts")))
+    both = C.join_hot(open_, hot, ["a"], "size", max(total, 1), "left") if hot.count() else open_.withColumn("salts", F.lit(None).cast("long"))
+    placed = both.select("ord", "rk", "s", "data", salted.alias("salted"), F.when(salted, salt).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards))).alias("shard"))
+    out = C.stored(placed.groupBy("shard", "salted").applyInArrow(lambda t: within_shard(t, length), "ord long, rk long, s long, e long, window binary"))
+    gone = out.where("window is null").drop("window")
+    return gone.union(merged(out.where("window is not null"))) if hot.count() else gone
 
 
 def repeated_spans(rows: DataFrame, spec: R.Spec = SPEC) -> DataFrame:
-    """(rk, spans): for each document the byte spans to remove; stored. ``rows`` from ``repeats.keyed``."""
-    spark = rows.sparkSession
-    occ = R.recurring(rows, spec, within=True)
-    graph = R.nodes(occ)
-    seen = R.visits(occ, graph, R.paths(graph), True)
-    C.release(spark)
-    both = open_stretches(rows, seen, spec)
-    C.release(spark)
-    gone = later_windows(both.where("data is not null"), spec)
-    out = C.stored(both.where("data is null").select("rk", "s", "e").union(gone).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    C.release(spark)
+    """(ord, rk, spans): for each document the byte spans to remove; stored. ``rows`` from ``repeats.keyed``."""
+    open_ = stretches(rows, spec)
+    gone = later_windows(open_, spec)
+    out = C.stored(gone.groupBy("ord", "rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    C.discard(open_)
     return out
 
 
@@ -258,4 +292,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             sha.append(hashlib.sha256(data).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return C.arrow_map(rows.join(spans, "rk", "left").select("doc_id", "text", "spans"), run, OUT)
+    return C.arrow_map(rows.join(spans, ["ord", "rk"], "left").select("doc_id", "text", "spans"), run, OUT)
