@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +78,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows that ``small`` lets go to every task.
+SMALL = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most SMALL rows of a few numbers; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def row_key() -> Column:
+    """128 bits of doc_id and text: rows with equal keys are copies in both."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
 @dataclass
 class Bloom:
     """A filter of long keys: two bits of each. What is in is always found; what is not may be found too, the more often the fuller it is."""

@@ -193,19 +193,16 @@ def _joined(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
     """(rk, found): tiles with items by a join of seed hashes; only documents that share one."""
 
     def seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hs, who = [], []
-        for key, text in zip(batch.column(0).to_pylist(), C.texts(batch)):
+        hs = []
+        for text in C.texts(batch):
             x = np.fromiter(map(xxhash.xxh64_intdigest, words(text)), np.uint64)
-            h = np.unique(H.windows(H.prefixes(x), least)).view(np.int64)
-            hs.append(h)
-            who.append(np.full(len(h), key, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(hs))], ["key", "seed"])
+            hs.append(np.unique(H.windows(H.prefixes(x), least)).view(np.int64))
+        who = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(np.concatenate(hs))], ["key", "seed"])
 
-    from .simhash import row_key
-
-    rows = C.id_text(docs).select(row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["rk"])
+    rows = C.id_text(docs).select(C.row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["rk"])
     items = _items(benchmark).withColumn("ik", F.xxhash64("item_id", "item"))
-    a = C.arrow_map(rows, seeds, "key long, seed long")
+    a = C.arrow_map(rows, seeds, "key binary, seed long")
     b = C.arrow_map(items.select("ik", F.col("item").alias("text")), seeds, "key long, seed long").select(F.col("key").alias("ik"), "seed")
     pairs = C.stored(a.join(b, "seed").select(F.col("key").alias("rk"), "ik").distinct())
 
@@ -215,9 +212,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
             found = Index([(i, item)], least).match(words(text))
             for _, matched, n in found:
                 rk.append(key), item_id.append(i), m.append(matched), size.append(n)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rk, item_id, m, size)], ["rk", "item_id", "m", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(rk, pa.binary()), *(pa.array(x, pa.int64()) for x in (item_id, m, size))], ["rk", "item_id", "m", "size"])
 
-    return C.arrow_map(pairs.join(items, "ik").join(rows, "rk").select("rk", "text", "item_id", "item"), tile, "rk long, item_id long, m long, size long")
+    return C.arrow_map(pairs.join(items, "ik").join(rows, "rk").select("rk", "text", "item_id", "item"), tile, "rk binary, item_id long, m long, size long")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, most: int = BROADCAST_CHARS) -> DataFrame:
@@ -232,11 +229,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, cover
             return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], [x.split()[0] for x in OUT.split(", ")])
 
         return C.arrow_map(C.id_text(docs), run, OUT)
-    from .simhash import row_key
-
     best = F.min(F.struct((-F.col("m") / F.col("size")).alias("c"), "item_id", "m", "size")).alias("b")
     of = _joined(docs, benchmark, least).groupBy("rk").agg(F.sum((F.col("m") >= coverage * F.col("size")).cast("long")).alias("n"), best)
-    rows = C.id_text(docs).select("doc_id", row_key().alias("rk")).join(of, "rk", "left")
+    rows = C.id_text(docs).select("doc_id", C.row_key().alias("rk")).join(of, "rk", "left")
     return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_items"), F.col("b.item_id").alias("item_id"), F.coalesce("b.m", F.lit(0)).alias("n_matched"), F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("covered"), (F.coalesce("n", F.lit(0)) > 0).alias("contaminated"))
 
 
@@ -250,7 +245,5 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, cover
             return batch.filter(pa.array([not _verdict(shared.value.match(words(t)), shared.value.ids, coverage)[-1] for t in C.texts(batch)], pa.bool_()))
 
         return C.arrow_map(docs, run, schema)
-    from .simhash import row_key
-
     bad = _joined(docs, benchmark, least).where(F.col("m") >= coverage * F.col("size")).select(F.col("rk").alias("__rk")).distinct()
-    return docs.withColumn("__rk", row_key()).join(bad, "__rk", "left_anti").select(*docs.columns)
+    return docs.withColumn("__rk", C.row_key()).join(bad, "__rk", "left_anti").select(*docs.columns)

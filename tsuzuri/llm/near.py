@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import components, one_of_each
 from .hashing import mix, prefixes, windows
-from .simhash import fingerprint, grouped, row_key
+from .simhash import fingerprint, roots
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS, GROUP = 32, 5, 2048
@@ -83,7 +83,7 @@ def linked(ids: list[int], sets: list[np.ndarray], least: float = LEAST) -> list
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, rk from row_key(), SimHash fingerprint, a hash of the shingle set and its bands, for each row; stored."""
+    """doc_id, rk from common.row_key(), SimHash fingerprint, a hash of the shingle set and its bands, for each row; stored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = C.texts(batch)
@@ -94,20 +94,24 @@ def measured(docs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp), pa.array(of), lists], ["doc_id", "rk", "fp", "of", "bands"])
 
-    return C.stored(C.arrow_map(C.id_text(docs).withColumn("rk", row_key()), run, "doc_id long, rk long, fp long, of long, bands array<long>"))
+    return C.stored(C.arrow_map(C.id_text(docs).withColumn("rk", C.row_key()), run, "doc_id long, rk binary, fp long, of long, bands array<long>"))
 
 
 def links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
     """(a, b): links that connect all sets that are similar enough, without those that others imply. ``rows``: from measured()."""
-    one = C.stored(rows.groupBy("of").agg(F.min(F.struct("rk", "bands")).alias("x")).select("of", "x.rk", "x.bands"))
+    one = C.stored(rows.groupBy("of").agg(F.min("rk").alias("rk"), F.first("bands").alias("bands")))
     spread = one.select("of", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("of").alias("to"), F.count("*").alias("n")).where("n > 1").select("band", "to")
-    found = components(spread.join(shared, "band").where("of != to").select(F.col("of").alias("a"), F.col("to").alias("b")))
+    shared = C.stored(spread.groupBy("band").agg(F.min("of").alias("to"), F.count("*").alias("n")).where("n > 1"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    met = spread.join(C.small(shared.select("band", "to")), "band") if shared.count() <= C.SMALL else C.join_hot(spread, shared, ["band"], "n", total)
+    found = components(met.where("of != to").select(F.col("of").alias("a"), F.col("to").alias("b")))
     member = C.stored(found.select("node", "root").union(found.select("root", "root")).distinct())
-    sizes = member.groupBy("root").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-    pick = C.stored(member.join(sizes, "root").join(one, F.col("node") == F.col("of")).select("root", "blocks", "of", F.col("rk").alias("pick")))
+    sizes = C.stored(member.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / group).cast("int").alias("blocks")))
+    blocks = C.join_hot(member, sizes, ["root"], "n", max(member.count(), 1))
+    pick = C.stored(blocks.join(one.select("of", "rk"), F.col("node") == F.col("of")).select("root", "blocks", "of", F.col("rk").alias("pick")))
+    C.discard(one, shared, member, sizes)
 
-    text = docs.select(F.col("text").cast("string").alias("text"), row_key().alias("rk")).join(pick, F.col("rk") == F.col("pick")).select("text", "root", "blocks", "of")
+    text = docs.select(F.col("text").cast("string").alias("text"), C.row_key().alias("rk")).join(C.small(pick), F.col("rk") == F.col("pick")).select("text", "root", "blocks", "of")
     own = text.withColumn("own", F.pmod(F.xxhash64("of"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = own.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "of", "text")
 
@@ -136,10 +140,10 @@ def links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
 def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """One row of each group, the one of the least doc_id (a null one only if there is no other); columns as they were."""
     rows = measured(docs)
-    alike = C.stored(grouped(rows.select("doc_id", "fp", "of")).select("root", "of").distinct())
-    star = alike.join(alike.groupBy("root").agg(F.min("of").alias("b")), "root").where("of != b").select(F.col("of").alias("a"), "b")
-    root = components(links(docs, rows, group).union(star)).select("node", F.col("root").alias("to"))
-    of = rows.select("doc_id", "rk", "of").join(root, F.col("of") == F.col("node"), "left").select("doc_id", "rk", F.coalesce("to", "of").alias("root"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rk")).alias("best")
-    keep = C.stored(of.groupBy("root").agg(best).select(F.col("best.rk").alias("__rk")))
-    return docs.withColumn("__rk", row_key()).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).select(*docs.columns)
+    sets = C.stored(rows.select("fp", "of").distinct())
+    fps = C.stored(sets.select("fp").distinct())
+    alike = sets.join(roots(fps), "fp").select("root", "of").distinct()
+    star = C.stored(alike.groupBy("root").agg(F.min("of").alias("b"), F.count("*").alias("n")).where("n > 1"))
+    total = star.agg(F.sum("n")).first()[0] or 0
+    linked_ = C.join_hot(C.stored(alike), star, ["root"], "n", max(total, 1)).where("of != b").select(F.col("of").alias("a"), "b")
+    return one_of_each(docs, rows.select("doc_id", "rk", F.col("of").alias("key")), components(links(docs, rows, group).union(linked_)))

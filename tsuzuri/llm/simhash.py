@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import components, one_of_each
 from .hashing import mix
 
 BUCKET, SAMPLE = 4096, 4096
@@ -52,19 +52,14 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def row_key():
-    """Of doc_id and text: rows with equal keys are copies in both."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp, rk) for each row, fp as a signed 64-bit number, rk from row_key(); stored."""
+    """(doc_id, fp, rk) for each row, fp as a signed 64-bit number, rk from common.row_key(); stored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, width) for t in C.texts(batch)], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "rk"])
 
-    return C.stored(C.arrow_map(C.id_text(docs).withColumn("rk", row_key()), run, "doc_id long, fp long, rk long"))
+    return C.stored(C.arrow_map(C.id_text(docs).withColumn("rk", C.row_key()), run, "doc_id long, fp long, rk binary"))
 
 
 def grouped_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -236,24 +231,25 @@ def links(fps: DataFrame, bits: int = 4, bucket: int = BUCKET) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long")
 
 
-def grouped(rows: DataFrame, bits: int = 4) -> DataFrame:
-    """``rows`` from fingerprints() with the least fingerprint of their component as ``root`` and its least doc_id as ``component_id``."""
-    fps = C.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(fps, bits))
-    of = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = C.stored(of.join(least, "root").select(F.col("fp").alias("f"), "root", "component_id"))
-    return rows.join(named, F.col("fp") == F.col("f")).drop("f")
+def roots(fps: DataFrame, bits: int = 4) -> DataFrame:
+    """(fp, root) of all fingerprints: the least one that each reaches; stored. ``fps``: (fp), distinct and stored."""
+    found = components(links(fps, bits))
+    return C.stored(fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
 def near_copies(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row."""
-    return grouped(fingerprints(docs, width), bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = fingerprints(docs, width)
+    fps = C.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    of = C.stored(fps.join(roots(fps, bits), "fp"))
+    least = C.stored(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    named = C.stored(C.join_hot(of.select("fp", "n", "root"), least, ["root"], "fps", max(of.count(), 1)).select("fp", "n", "component_id"))
+    out = C.join_hot(rows.select("doc_id", "fp"), named, ["fp"], "n", max(rows.count(), 1))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """One row of each component, the one of the least doc_id (a null one only if there is no other); columns as they were."""
-    rows = grouped(fingerprints(docs, width), bits)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rk")).alias("best")
-    keep = C.stored(rows.groupBy("root").agg(best).select(F.col("best.rk").alias("__rk")))
-    return docs.withColumn("__rk", row_key()).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).select(*docs.columns)
+    rows = fingerprints(docs, width)
+    fps = C.stored(rows.select("fp").distinct())
+    return one_of_each(docs, rows.select("doc_id", "rk", F.col("fp").alias("key")), components(links(fps, bits)))
