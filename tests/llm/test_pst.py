@@ -112,19 +112,32 @@ def test_contexts_help_on_held_out_text(spark):
 
 def test_unrelated_words_retain_little(spark):
     rng = random.Random(2)
-    rows = [(i, " ".join(prose(rng, 150, 40))) for i in range(100)]
-    assert pst.train(pst.split(table(spark, rows)).where("not held_out").select("doc_id", "text")).contexts.count() <= 40
+    rows, _, model = pst.numbered(pst.split(table(spark, [(i, " ".join(prose(rng, 150, 40))) for i in range(100)])))
+    pst.grow(rows.where("not held_out").select("t"), model, 3)
+    assert model.contexts.count() <= 40
+
+
+def test_lookup():
+    rng = random.Random(7)
+    for n in (0, 1, 5, 3000):
+        import numpy as np
+
+        keys = np.array([rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)], np.int64)
+        x = np.concatenate([keys, np.array([rng.randrange(-(1 << 63), 1 << 63) for _ in range(50)] + [0, -1], np.int64)])
+        table_ = pst.Lookup(keys, np.arange(n))
+        i = table_.find(x)
+        assert (table_.values[i[:n]] == np.arange(n)).all() and (i[n:] == -1).all()
 
 
 def test_rare_contexts_count_in_a_large_corpus(spark):
     """A phrase found a few times is kept, however many other tokens there are."""
     rng = random.Random(4)
     rows = [(i, " ".join(prose(rng, 400, 3000))) for i in range(120)]
-    rows += [(1000 + i, " ".join([*prose(rng, 20, 3000), "alpha w1 beta gamma", *prose(rng, 20, 3000)])) for i in range(10)]
+    rows += [(1000 + i, " ".join([*prose(rng, 20, 3000), "alpha w1 beta gamma", *prose(rng, 20, 3000)])) for i in range(24)]
     tree, got = check_scores(spark, rows)
     assert (b"alpha",) in tree
     by = {r["doc_id"]: r for r in got}
-    assert all((by[1000 + i]["score"] - by[1000 + i]["base_score"]) > 1 for i in range(10))
+    assert all((by[1000 + i]["score"] - by[1000 + i]["base_score"]) > 1 for i in range(24))
 
 
 def test_probabilities_sum_to_one():

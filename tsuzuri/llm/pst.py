@@ -2,28 +2,29 @@
 
 Training counts all words of all training documents, then, for contexts of 1 to ``DEPTH`` words, what follows them: one pass a level,
 over the contexts found at least ``MIN_CONTEXT`` times. A context is retained if its next-word distribution diverges from that of its
-suffix (the context without its first word): the log likelihood ratio must exceed the number of its words and ln N. Retained
-distributions are smoothed by absolute discount, and what is left goes to the next shorter retained suffix, down to the smoothed
-unigrams. A token is scored in the state of its longest retained context.
+suffix (the context without its first word): over what follows it at least ``MIN_ENTRY`` times, the log likelihood ratio must exceed
+the number of words and ln N. Retained distributions are smoothed by absolute discount, and what is left goes to the next shorter
+retained suffix, down to the smoothed unigrams. A token is scored in the state of its longest retained context.
 
-Nothing is capped: words, contexts and entries are tables in the shared folder, keyed by 64-bit hashes, whose size follows the
-corpus. The minimum counts are constants. Two things only save work: a bounded Bloom filter (``BLOOM_BITS``) of the contexts that
-count, beyond whose size more rows are counted in vain, and a tree of up to ``CACHE`` keys goes to every task; a larger one is joined to
-the tokens by shuffles. Frequent keys are joined by ``common.join_hot``.
+Nothing is capped: words, contexts and entries are tables in the shared folder whose size follows the corpus; the minimum counts are
+constants. Three things only save work. Words are numbered, the ``SYMBOLS`` most frequent ones by rank, all others by their hash, and the texts
+are stored as such numbers, which are small. A bounded Bloom filter (``BLOOM_BITS``) tells contexts that count; the fuller it is, the more
+rows are counted in vain. A tree of up to ``CACHE`` keys goes to every task; a larger one is joined to the tokens, frequent contexts apart
+(``common.join_hot``). Tables of counts hold a row for each distinct sequence, so no word has a large share of one.
 
 An entry holds its gain over the base probability, so a text's score is its base score, plus the gain of each token's longest entry,
-plus the log of what each longer retained context left to its suffix.
+plus the log of what each longer retained context left to its suffix. Sequences are told apart by 64 bits of hash.
 
 Defined results: null or empty text is one token, the end; a null doc_id counts as the empty text in the split (held out);
-repeated rows count each and get equal rows; texts are read whole, whatever their length; equal counts and ties need no order;
+repeated rows count each and get equal rows; texts are read whole, whatever their length; equal counts need no order;
 without training tokens every count is 0 (N = V = 0); an empty table gives an empty result; other columns, whatever their names,
 are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .hashing import mix
 
-MIN_CONTEXT, MIN_ENTRY, DEPTH = 4, 2, 3
+MIN_CONTEXT, MIN_ENTRY, DEPTH = 16, 4, 3
 DISCOUNT, ALPHA = 0.5, 0.1
 #: Words whose counts go to every task (all others are joined), keys of a tree that does, and bits of the filter.
 SYMBOLS, CACHE, BLOOM_BITS = 500_000, 6_000_000, 1 << 28
@@ -58,7 +59,7 @@ def joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
 def grams(t: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For 1 to ``most`` words before a token: the tokens that have them, the keys of these words, of them without the first but with the token, and of both."""
     at = np.setdiff1d(np.arange(len(t)), start, assume_unique=True)
-    key, ok = t, np.ones(len(t), bool)
+    key, ok = key_of(t), np.ones(len(t), bool)
     for _ in range(most):
         at = at[ok[at - 1]]
         before, last = key[at - 1], key[at]
@@ -74,209 +75,288 @@ def split(docs: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0)
 
 
-def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each x in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(x), -1, np.int64)
-    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[i] == x, i, -1)
+class Lookup:
+    """Well-mixed keys with values: the sorted keys, and where those of each leading bit pattern begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        k = keys.view(np.uint64)
+        order = np.argsort(k)
+        self.keys, self.values = k[order], values[order]
+        bits = max(len(k).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        lead = (self.keys >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(lead, np.arange((1 << bits) + 1)).astype(np.int32 if len(k) < 1 << 31 else np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of each x, or -1."""
+        x = x.view(np.uint64)
+        lead = (x >> self.shift).astype(np.int64)
+        i, end = self.begin[lead], self.begin[lead + 1]
+        out, left = np.full(len(x), -1, np.int64), np.flatnonzero(i < end)
+        i, end, x = i[left], end[left], x[left]
+        while len(left):
+            hit = self.keys[i] == x
+            out[left[hit]] = i[hit]
+            i = i + 1
+            go = ~hit & (i < end)
+            left, i, end, x = left[go], i[go], end[go], x[go]
+        return out
 
 
-def over_blocks(rows: DataFrame, fn: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
-    """``fn``(tokens of several documents, which of them begin one) gives columns of longs, the last one a count; summed for each key."""
+def arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table."""
+    t = df.toArrow()
+    return [np.concatenate([np.asarray(x) for x in c.chunks] or [np.zeros(0, np.int64)]) for c in t.columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def out() -> pa.RecordBatch:
-            size = np.array([len(t) for t in held])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in fn(np.concatenate(held), np.cumsum(size) - size)], names)
+def cut(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most`` tokens (first column); a longer document stands alone."""
+    if batch.num_rows:
+        place = np.cumsum(np.diff(np.asarray(batch.column(0).offsets, np.int64))) // most
+        edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.ListArray]]:
+    """The token lists of batches (first column), in blocks of about FLUSH tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in cut(batch):
+            held.append(piece.column(0))
+            size += len(held[-1].flatten())
+            if size >= FLUSH:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
-        size = 0
-        for batch in batches:
-            for piece in C.pieces(batch):
-                for t in C.texts(piece):
-                    held.append(tokens(t))
-                    size += len(held[-1])
-                    if size >= FLUSH:
-                        yield out()
-                        held, size = [], 0
-        if size:
-            yield out()
 
-    each = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    return each.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+def flat(lists: list[pa.ListArray]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens, and where each document begins."""
+    t = np.concatenate([np.asarray(x.flatten(), np.int64) for x in lists])
+    size = np.concatenate([np.diff(np.asarray(x.offsets, np.int64)) for x in lists])
+    return t, np.cumsum(size) - size
 
 
-def count_words(t: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    k, n = np.unique(t, return_counts=True)
-    return [k, n.astype(np.int64)]
+def counted(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Counts ``n`` summed for each key. Keys are counted in each task's blocks before, so the shuffle comes first."""
+    return rows.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        for piece in C.pieces(batch):
+            held += [tokens(t) for t in C.texts(piece)]
+            size = sum(map(len, held))
+            if size >= FLUSH:
+                k, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["word", "n"])
+                held = []
+    if held:
+        k, n = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["word", "n"])
+
+
+@dataclass
+class Words:
+    """The numbers of words: the rank of a frequent one, else its hash with two bits set."""
+
+    known: Lookup
+    counts: np.ndarray  # by rank
+
+    def numbers(self, t: np.ndarray) -> np.ndarray:
+        i = self.known.find(t)
+        return np.where(i >= 0, self.known.values[np.maximum(i, 0)] if len(self.known.values) else 0, (t & np.int64((1 << 62) - 1)) | np.int64(1 << 62))
+
+
+def key_of(number: np.ndarray) -> np.ndarray:
+    """A word's key as a context."""
+    return mix(number.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).view(np.int64)
 
 
 @dataclass
 class Model:
     """Stored tables, and what all tasks get."""
 
-    total: int = 0
-    distinct: int = 0
-    words: DataFrame | None = None  # key, n
+    total: int
+    distinct: int
+    counts: DataFrame  # number, n
     contexts: DataFrame | None = None  # key, size, rest: log10 of the share left to the suffix
-    entries: DataFrame | None = None  # key, gain: log10 of the probability over the base one
-    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    entries: DataFrame | None = None  # key, n, gain: log10 of the probability over the base one
 
     @property
     def norm(self) -> float:
         return float(self.total + ALPHA * (self.distinct + 1))
 
 
-def train(rows: DataFrame, depth: int = DEPTH) -> Model:
-    """The tree; ``rows``: doc_id, text of the training documents."""
+def numbered(rows: DataFrame) -> tuple[DataFrame, Words, Model]:
+    """The rows of split() with their tokens as numbers instead of the text, and a row_id; stored. The words' numbers and counts."""
     spark = rows.sparkSession
-    words = C.stored(over_blocks(rows, count_words, ["key", "n"]))
-    total, distinct, top = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.max("n")).first()
-    model = Model(total, distinct, words)
-    if not total:
-        return model
+    words = C.stored(counted(rows.where("not held_out").select("text").mapInArrow(count_words, "word long, n long"), ["word"]))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the least power of two above which at most SYMBOLS words count, by a histogram
     sizes = {r["p"]: r["k"] for r in words.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("k")).collect()}
     least = min(p for p in range(64) if sum(k for q, k in sizes.items() if q >= p) <= SYMBOLS)
-    known = words.where(F.col("n") >= 1 << least).orderBy("key").toArrow()
-    model.symbols, model.counts = (np.asarray(known.column(c).combine_chunks(), np.int64) for c in (0, 1))
+    word, n = arrays(words.where(F.col("n") >= 1 << least))
+    order = np.lexsort((word, -n))
+    known = Words(Lookup(word[order].astype(np.int64), np.arange(len(word))), n[order].astype(np.int64))
+    shared = spark.sparkContext.broadcast(known)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = shared.value.numbers(np.array(batch.column(0), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(k), batch.column(1)], ["number", "n"])
+
+    counts = C.stored(words.mapInArrow(number, "number long, n long"))
+    C.discard(words)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ts = [tokens(t) for t in C.texts(batch)]
+        edges = np.cumsum([0, *map(len, ts)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(shared.value.numbers(np.concatenate(ts))))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["doc_id", "held_out", "row_id", "t"])
+
+    source = rows.withColumn("row_id", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row_id")
+    return C.stored(C.arrow_map(source, run, "doc_id long, held_out boolean, row_id long, t array<long>")), known, Model(total, distinct, counts)
+
+
+def grow(rows: DataFrame, model: Model, depth: int) -> None:
+    """The tree; ``rows``: (t) of the training documents, stored."""
+    spark, total = rows.sparkSession, model.total
     base = (F.col("n") + ALPHA) / model.norm
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(key_of(np.array(batch.column(0), np.int64))), batch.column(1)], ["key", "n"])
+
     # of each sequence found MIN_ENTRY times: its count, that of its words but the last, its probability, and its last word's base probability
-    lower = words.where(F.col("n") >= MIN_ENTRY).select("key", "n", F.lit(total).cast("long").alias("size"), base.alias("p"), base.alias("b"))
-    contexts, entries, used = [], [], []
+    lower = model.counts.where(F.col("n") >= MIN_ENTRY).mapInArrow(keyed, "key long, n long").select("key", "n", F.lit(total).cast("long").alias("size"), base.alias("p"), base.alias("b"))
+    lower = C.stored(lower)
+    contexts, entries = [], []
     for level in range(1, depth + 1):
-        keys = C.stored(lower.where((F.col("n") >= MIN_CONTEXT) & (F.col("key") != int(END))).select("key")) if level == 1 else C.stored(lower.where(F.col("n") >= MIN_CONTEXT).select("key"))
+        keys = C.stored(lower.where(F.col("n") >= MIN_CONTEXT).select("key"))
+        if not keys.count():
+            break
         bloom = spark.sparkContext.broadcast(C.Bloom.of(keys, BLOOM_BITS))
 
-        def follow(t: np.ndarray, start: np.ndarray, level: int = level, bloom=bloom) -> list[np.ndarray]:
-            for _, before, last, both in grams(t, start, level):  # noqa: B007
-                pass
-            at = np.flatnonzero(bloom.value.has(before))
-            _, i, n = np.unique(both[at], return_index=True, return_counts=True)
-            return [before[at[i]], last[at[i]], n.astype(np.int64)]
-
-        pairs = C.stored(over_blocks(rows, follow, ["ctx", "last", "n"]).where(F.col("n") >= MIN_ENTRY))
+        def follow(batches: Iterator[pa.RecordBatch], level: int = level, bloom=bloom) -> Iterator[pa.RecordBatch]:
+            for lists in blocks(batches):
+                for _, before, last, both in grams(*flat(lists), level):  # noqa: B007
+                    pass
+                at = np.flatnonzero(bloom.value.has(before))
+                at = at[np.argsort(both[at])]
+                k = both[at]
+                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(k)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[at[first]], last[at[first]], n.astype(np.int64))], ["ctx", "last", "n"])
+
+        pairs = counted(rows.mapInArrow(follow, "ctx long, last long, n long"), ["ctx", "last"]).where(F.col("n") >= MIN_ENTRY)
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k = joined(*(np.array(batch.column(i), np.int64) for i in (0, 1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], ["ctx", "last", "n", "key"])
+
+        pairs = C.stored(pairs.mapInArrow(named, "ctx long, last long, n long, key long"))
         bloom.unpersist()
         C.discard(keys)
-
-        def key_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            k = joined(*(np.array(batch.column(i), np.int64) for i in (0, 1)))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], ["ctx", "last", "n", "key"])
-
-        named = pairs.mapInArrow(lambda batches: map(key_of, batches), "ctx long, last long, n long, key long")
-        of = lower.where((F.col("n") >= MIN_CONTEXT)).select(F.col("key").alias("ctx"), F.col("n").alias("size"))
-        sized = C.join_hot(named, of, ["ctx"], "size", total)
-        suffix = lower.select(F.col("key").alias("last"), F.col("n").alias("m"), (F.col("n") / F.col("size")).alias("q"), "p", "b")
-        both = C.stored(C.join_hot(sized, suffix, ["last"], "m", total).select("ctx", "key", "n", "size", "q", "p", "b"))
-        C.discard(pairs)
+        of = lower.where(F.col("n") >= MIN_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("size"))
+        suffix = lower.select(F.col("key").alias("last"), (F.col("n") / F.col("size")).alias("q"), "p", "b")
+        both = C.stored(pairs.join(of, "ctx").join(suffix, "last").select("ctx", "key", "n", "size", "q", "p", "b"))
+        C.discard(pairs, lower)
         # divergence from the suffix's distribution
         mass = F.sum((F.col("n") - DISCOUNT) / F.col("size"))
-        tests = both.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("size") / F.col("q"))).alias("ratio"), F.count("*").alias("kinds"), (1.0 - mass).alias("rest"), F.max("size").alias("s"))
-        passed = C.stored(tests.where(F.col("ratio") - F.col("kinds") > float(np.log(total))).select("ctx", "kinds", "rest", "s"))
-        kinds = passed.agg(F.sum("kinds")).first()[0] or 0
-        smooth = (F.col("n") - DISCOUNT) / F.col("size") + F.col("rest") * F.col("p")
-        now = C.stored(C.join_hot(both, passed, ["ctx"], "kinds", max(kinds, 1), "left").select("key", "n", "size", F.coalesce(smooth, "p").alias("p"), "b", F.col("rest").isNotNull().alias("own")))
-        C.discard(both, *used)
-        used = [now] if level < depth else []
-        contexts.append(passed.select(F.col("ctx").alias("key"), F.col("s").alias("size"), F.log10("rest").alias("rest")))
-        mine = now.where("own").select("key", "n", F.log10(F.col("p") / F.col("b")).alias("gain"))
-        entries.append(C.stored(mine))
-        lower = now.drop("own")
-    for t in used:
-        C.discard(t)
-    model.contexts, model.entries = contexts[0], entries[0]
-    for c, e in zip(contexts[1:], entries[1:]):
-        model.contexts, model.entries = model.contexts.union(c), model.entries.union(e)
-    return model
+        tests = both.groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("size") / F.col("q"))).alias("ratio"), F.count("*").alias("kinds"), (1.0 - mass).alias("left"), F.max("size").alias("s"))
+        passed = C.stored(tests.where(F.col("ratio") - F.col("kinds") > float(np.log(total))).select("ctx", "left", "s"))
+        smooth = (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("p")
+        now = C.stored(both.join(passed.select("ctx", "left"), "ctx", "left").select("key", "n", "size", F.coalesce(smooth, "p").alias("p"), "b", F.col("left").isNotNull().alias("own")))
+        C.discard(both)
+        contexts.append(passed.select(F.col("ctx").alias("key"), F.col("s").alias("size"), F.log10("left").alias("rest")))
+        entries.append(C.stored(now.where("own").select("key", "n", F.log10(F.col("p") / F.col("b")).alias("gain"))))
+        lower = C.stored(now.drop("own"))
+        C.discard(now)
+    C.discard(lower)
+    for c, e in zip(contexts, entries):
+        model.contexts, model.entries = (c, e) if model.contexts is None else (model.contexts.union(c), model.entries.union(e))
 
 
 @dataclass
 class Cached:
-    """A small tree: sorted keys with their values."""
+    """A small tree."""
 
-    contexts: np.ndarray
-    rest: np.ndarray
-    entries: np.ndarray
-    gain: np.ndarray
+    contexts: Lookup
+    entries: Lookup
 
     @classmethod
     def of(cls, model: Model) -> Cached:
-        def arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-            t = df.select("key", value).toArrow()
-            k, v = (np.concatenate([np.asarray(x) for x in t.column(i).chunks] or [np.zeros(0)]) for i in (0, 1))
-            o = np.argsort(k)
-            return k.astype(np.int64)[o], v.astype(np.float64)[o]
-
-        return cls(*arrays(model.contexts, "rest"), *arrays(model.entries, "gain"))
+        return cls(*(Lookup(k.astype(np.int64), v.astype(np.float64)) for k, v in (arrays(model.contexts.select("key", "rest")), arrays(model.entries.select("key", "gain")))))
 
     def gains(self, t: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
         """For each token, the log10 of its probability over the base one."""
         out, done = np.zeros(len(t)), np.zeros(len(t), bool)
         for at, before, _, both in reversed(list(grams(t, start, depth))):
-            left = ~done[at]
-            at, before, both = at[left], before[left], both[left]
-            i = find(self.entries, both)
+            left = np.flatnonzero(~done[at])
+            j = self.contexts.find(before[left])
+            left, j = left[j >= 0], j[j >= 0]
+            i = self.entries.find(both[left])
             hit = i >= 0
-            out[at[hit]] += self.gain[i[hit]]
-            done[at[hit]] = True
-            j = find(self.contexts, before[~hit])
-            out[at[~hit][j >= 0]] += self.rest[j[j >= 0]]
+            out[at[left[hit]]] += self.entries.values[i[hit]]
+            done[at[left[hit]]] = True
+            out[at[left[~hit]]] += self.contexts.values[j[~hit]]
         return out
 
 
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """A row for each document: tokens, known tokens, base score and the tree's score (log10 probability of the whole text)."""
-    rows = split(docs)
     spark = docs.sparkSession
-    model = train(rows.where("not held_out").select("doc_id", "text"), depth)
-    symbols, counts, norm = model.symbols, model.counts, model.norm
-    grown = model.contexts is not None
+    rows, words, model = numbered(split(docs))
+    if model.total:
+        grow(rows.where("not held_out").select("t"), model, depth)
+    grown, norm = model.contexts is not None, model.norm
     small = grown and model.contexts.count() + model.entries.count() <= CACHE
     extra = (Cached.of(model) if small else C.Bloom.of(C.stored(model.contexts.select("key")), BLOOM_BITS)) if grown else None
-    shared = spark.sparkContext.broadcast((symbols, counts, extra))
+    shared = spark.sparkContext.broadcast((words.counts, extra))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        symbols, counts, tree = shared.value
-        ts = [tokens(t) for t in C.texts(batch)]
-        size = np.array([len(t) for t in ts])
-        start = np.cumsum(size) - size
-        t = np.concatenate(ts)
-        ids = find(symbols, t)
-        base = np.zeros(len(t))
-        base[ids >= 0] = np.log10((counts[ids[ids >= 0]] + ALPHA) / norm)
-        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(start, len(t))).astype(np.int32)), values)
-        rare = np.flatnonzero(ids < 0)
-        gain, open_ = np.zeros(len(t)), np.zeros(0, np.int64)
-        cells: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
-        if isinstance(tree, Cached):
-            gain = tree.gains(t, start, depth)
-        elif tree is not None:  # what may hang on a context is joined
-            found = [(at[ok], np.full(ok.sum(), d), before[ok], both[ok]) for d, (at, before, _, both) in enumerate(grams(t, start, depth), 1) if len(ok := tree.has(before))]
-            cells = [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]).astype(np.int64) for i in range(4)]
-            order = np.argsort(cells[0], kind="stable")
-            cells = [c[order] for c in cells]
-            open_ = cells[0]
-        known = size - np.diff(np.searchsorted(rare, np.append(start, len(t))))
-        structs = pa.StructArray.from_arrays([pa.array(c) for c in cells], ["tok", "level", "ctx", "key"])
-        cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(gain, start)), lists(rare, pa.array(t[rare])), lists(open_, structs)]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "row_id", "n_tokens", "known", "base", "gain", "rare", "open"])
-
-    out = "doc_id long, held_out boolean, row_id long, n_tokens long, known long, base double, gain double, rare array<long>, open array<struct<tok long, level long, ctx long, key long>>"
-    part = C.stored(C.arrow_map(rows.withColumn("row_id", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row_id"), run, out))
-    C.release(spark)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, tree = shared.value
+        logs = np.log10((counts + ALPHA) / norm) if len(counts) else np.zeros(0)
+        for batch in (piece for b in batches for piece in cut(b)):
+            t, start = flat([batch.column(0)])
+            size = np.diff(np.append(start, len(t)))
+            rare = np.flatnonzero(t >= len(logs))
+            base = np.zeros(len(t))
+            known = t < len(logs)
+            base[known] = logs[t[known]]
+            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(start, len(t))).astype(np.int32)), values)  # noqa: B023, E731
+            gain = np.zeros(len(t))
+            cells: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+            if isinstance(tree, Cached):
+                gain = tree.gains(t, start, depth)
+            elif tree is not None:  # what may hang on a context is joined
+                found = [(at[ok], np.full(ok.sum(), d), before[ok], both[ok]) for d, (at, before, _, both) in enumerate(grams(t, start, depth), 1) if len(ok := tree.has(before))]
+                cells = [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]).astype(np.int64) for i in range(4)]
+                order = np.argsort(cells[0], kind="stable")
+                cells = [c[order] for c in cells]
+            seen = size - np.diff(np.searchsorted(rare, np.append(start, len(t))))
+            structs = pa.StructArray.from_arrays([pa.array(c) for c in cells], ["tok", "level", "ctx", "key"])
+            cols = [*batch.columns[1:], pa.array(size), pa.array(seen.astype(np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(gain, start)), lists(rare, pa.array(t[rare])), lists(cells[0], structs)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "row_id", "n_tokens", "known", "base", "gain", "rare", "open"])
+
+    out = "doc_id long, held_out boolean, row_id long, n_tokens long, known long, base double, gain double, rare array<long>, open array<struct<tok: long, level: long, ctx: long, key: long>>"
+    part = C.stored(rows.select("t", "doc_id", "held_out", "row_id").mapInArrow(run, out))
+    C.discard(rows)
     zero = F.lit(0.0)
-    more = part.where("size(rare) > 0").select("row_id", F.explode("rare").alias("key"))
-    each = more.join(model.words, "key", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("c"))  # rare words only: none is hot
+    each = part.where("size(rare) > 0").select("row_id", F.explode("rare").alias("number"))
+    each = each.join(model.counts.where(F.col("number") >= len(words.counts)), "number", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("c"))  # rare words only: none is hot
     more = each.groupBy("row_id").agg(F.sum(F.log10((F.col("c") + ALPHA) / norm)).alias("log"), F.sum((F.col("c") > 0).cast("long")).alias("seen"))
     rest = part.drop("rare", "open").join(more, "row_id", "left")
     score = F.col("base") + F.coalesce("log", zero) + F.col("gain")
     if grown and not small:
-        tokens_ = C.stored(part.where("size(open) > 0").select("row_id", F.explode("open").alias("x")).select("row_id", "x.tok", "x.level", "x.ctx", "x.key"))
-        of = C.join_hot(tokens_, model.contexts.select(F.col("key").alias("ctx"), "size", "rest"), ["ctx"], "size", model.total)
-        hit = C.join_hot(of.drop("size"), model.entries, ["key"], "n", model.total, "left")
+        open_ = C.stored(part.where("size(open) > 0").select("row_id", F.explode("open").alias("x")).select("row_id", "x.tok", "x.level", "x.ctx", "x.key"))
+        of = C.stored(C.join_hot(open_, model.contexts.select(F.col("key").alias("ctx"), "size", "rest"), ["ctx"], "size", model.total).drop("size", "ctx"))
+        hit = C.join_hot(of, model.entries, ["key"], "n", model.total, "left")
         hits = hit.groupBy("row_id", "tok").agg(F.collect_list(F.struct("level", "rest", "gain")).alias("x"))
         top = F.coalesce(F.array_max(F.filter("x", lambda x: x["gain"].isNotNull())), F.struct(F.lit(0).cast("long").alias("level"), zero.alias("rest"), zero.alias("gain")))
         left = F.aggregate("x", zero, lambda a, x: a + F.when(x["level"] > F.col("top")["level"], x["rest"]).otherwise(zero))
