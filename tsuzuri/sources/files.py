@@ -30,20 +30,40 @@ def _name(path: Column, up: int = 0) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1 - up)
 
 
-def whole_texts(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, mtime, value): each file as one text, line ends as LF; none if nothing matches."""
-    if not _exists(spark, pattern):
+def whole_texts(spark: SparkSession, pattern: str | Sequence[str]) -> DataFrame:
+    """(path, mtime, value): each file as one text, line ends as LF; none if nothing matches. A list names existing files."""
+    if not (pattern if not isinstance(pattern, str) else _exists(spark, pattern)):
         return spark.createDataFrame([], "path string, mtime double, value string")
-    files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("mtime"), "value")
+    files = spark.read.text(pattern if isinstance(pattern, str) else list(pattern), wholetext=True).select(F.col("_metadata.file_path").alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("mtime"), "value")
     return files.withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
 
 
-def library(spark: SparkSession, root: str) -> DataFrame:
-    """(id, dir, mtime, meta, modern, ocr_raw) of each document folder directly under root that has a meta.json and no dot in front. What can't be read is null."""
+def _id(path: Column) -> Column:
+    """The folder's name."""
+    return F.url_decode(F.replace(_name(path, 1), F.lit("+"), F.lit("%2B")))
+
+
+def listing(spark: SparkSession, root: str, name: str = "meta.json") -> DataFrame:
+    """(id, path, mtime) of a file of each document folder directly under root, none with a dot in front. No content is read."""
+    pattern = f"{root.rstrip('/')}/*/{name}"
+    if not _exists(spark, pattern):
+        return spark.createDataFrame([], "id string, path string, mtime double")
+    found = spark.read.format("binaryFile").load(pattern).select("path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+    return found.select(_name(F.col("path"), 1).alias("id"), "path", "mtime").where(~F.col("id").startswith("."))
+
+
+def library(spark: SparkSession, root: str, ids: Sequence[str] | None = None) -> DataFrame:
+    """(id, dir, mtime, meta, modern, ocr_raw) of each document folder directly under root that has a meta.json and no dot in front, or of some. What can't be read is null."""
     root = root.rstrip("/")
 
     def texts(name: str) -> DataFrame:
-        return whole_texts(spark, f"{root}/*/{name}").withColumn("id", F.url_decode(F.replace(_name(F.col("path"), 1), F.lit("+"), F.lit("%2B"))))
+        pattern: str | list[str] = f"{root}/*/{name}"
+        if ids is not None:
+            pattern = [r["path"] for r in listing(spark, root, name).where(F.col("id").isin(*ids)).collect()] if ids else []
+            if any(c in p for p in pattern for c in "[]{}*?\\"):  # names that a path pattern would read otherwise
+                pattern = f"{root}/*/{name}"
+        found = whole_texts(spark, pattern).withColumn("id", _id(F.col("path")))
+        return found if ids is None else found.where(F.col("id").isin(*ids) if ids else F.lit(False))
 
     meta = texts("meta.json").where(~F.col("id").startswith("."))
     meta = meta.select("id", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "mtime", F.from_json("value", META, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("m"), F.col("value").rlike(r"^\s*\{").alias("obj"), F.expr("try_parse_json(value)").isNotNull().alias("json"))
