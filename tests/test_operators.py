@@ -211,16 +211,13 @@ def test_records(spark):
 
 
 def test_export(spark, tmp_path):
-    docs = spark.sql("select 'x' id, 'r' ocr_raw, 'm' modern, named_struct('id', 'x', 'title', '題') meta")
-    root = str(tmp_path)
-
-    def put(i, name, text):
-        os.makedirs(f"{root}/{i}", exist_ok=True)
-        with open(f"{root}/{i}/{name}", "w", encoding="utf-8") as f:
-            f.write(text)
-
-    assert library.export(docs, put) == 1
-    assert json.load(open(f"{root}/x/meta.json", encoding="utf-8")) == {"id": "x", "title": "題"}
+    docs = spark.sql("select 'x' id, 'r' ocr_raw, 'm' modern, named_struct('id', 'x', 'title', '題') meta, array('in/a.png', 'in/b.png') source_paths, array('source_01.png', 'source_02.png') sources")
+    pages = spark.createDataFrame([("in/a.png", bytearray(b"A")), ("in/b.png", bytearray(b"B")), ("in/c.png", bytearray(b"C"))], "path string, content binary")
+    assert library.export(docs, library.folder(str(tmp_path)), pages) == 1
+    assert json.load(open(f"{tmp_path}/x/meta.json", encoding="utf-8")) == {"id": "x", "title": "題"}
+    assert sorted(os.listdir(tmp_path / "x")) == ["meta.json", "modern.txt", "ocr_raw.txt", "source_01.png", "source_02.png"] and (tmp_path / "x" / "source_02.png").read_bytes() == b"B"
+    texts = spark.createDataFrame([("a_modern.txt", "一\n二")], "name string, result string")
+    assert library.write_texts(texts, library.folder(str(tmp_path)), where="out") == 1 and (tmp_path / "out" / "a_modern.txt").read_text(encoding="utf-8") == "一\n二"
 
 
 def test_text_files_and_postprocessing(spark, tmp_path):
@@ -267,6 +264,8 @@ def test_pages_to_documents(spark, tmp_path):
     docs = ocr.run(pages, engine, images.Options(denoise=False), rewriter=lambda s: s + "!").collect()
     assert len(docs) == 1 and docs[0]["session"] == "s1" and docs[0]["ocr_raw"].count("\n\n") == 1 and docs[0]["modern"].startswith("国") and docs[0]["modern"].endswith("!") and docs[0]["elapsed_seconds"] == 1.0
     assert ocr.run(pages, engine, separate=True, normalize=False).count() == 2
+    more = spark.createDataFrame([("s", i, f"p{i}", bytearray(b"x" * (3 if i == 3 else 9))) for i in range(1, 6)], "session string, page int, path string, content binary")
+    assert sorted(r["session"] for r in ocr.run(more, engine, separate=True, normalize=False).collect()) == ["p1", "p2"]
     assert files.validated(spark.createDataFrame([("a.webp",), ("a.gif",)], "path string")).where("image_error is null").count() == 1
 
 

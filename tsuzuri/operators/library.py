@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,20 +57,58 @@ def records(docs: DataFrame, now: Column, existing: DataFrame, paths: str = "sou
     return named.withColumn("sources", F.transform(paths, lambda p, i: X.image_name("source", i + 1, F.size(paths), ext(p)))).withColumn("meta", meta(now))
 
 
-def export(docs: DataFrame, write: Callable[[str, str, str], None]) -> int:
-    """Write each record's ocr_raw.txt, modern.txt and meta.json with ``write(id, name, text)`` from the tasks, to a store that they share; the number of records."""
+Writer = Callable[[str, str, bytes], None]
+
+
+def folder(root: str) -> Writer:
+    """Writes ``name`` into the folder ``id`` under ``root``, a path that all executors share."""
+
+    def write(doc_id: str, name: str, data: bytes) -> None:
+        os.makedirs(os.path.join(root, doc_id), exist_ok=True)
+        with open(os.path.join(root, doc_id, name), "wb") as f:
+            f.write(data)
+
+    return write
+
+
+def _each(rows: DataFrame, put: Callable[[tuple], int]) -> int:
+    """``put`` for each row, in the tasks; the sum of what it gives."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for pdf in batches:
-            for r in pdf.itertuples():
-                write(r.id, "ocr_raw.txt", r.ocr_raw)
-                write(r.id, "modern.txt", r.modern)
-                write(r.id, "meta.json", json.dumps(json.loads(r.meta), ensure_ascii=False, indent=2) + "\n")
-                n += 1
-        yield pd.DataFrame({"n": [n]})
+        yield pd.DataFrame({"n": [sum(put(r) for pdf in batches for r in pdf.itertuples(index=False))]})
+
+    return rows.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def export(docs: DataFrame, write: Writer, pages: DataFrame | None = None) -> int:
+    """Write each record's ocr_raw.txt, modern.txt and meta.json with ``write(id, name, data)`` from the tasks; the number of records.
+
+    With ``pages`` (path, content) also a copy of its source images, under the names in its meta.json. A record that is written again is replaced."""
+
+    def put(r: tuple) -> int:
+        write(r.id, "ocr_raw.txt", r.ocr_raw.encode())
+        write(r.id, "modern.txt", r.modern.encode())
+        write(r.id, "meta.json", (json.dumps(json.loads(r.meta), ensure_ascii=False, indent=2) + "\n").encode())
+        return 1
+
+    def copy(r: tuple) -> int:
+        write(r.id, r.name, bytes(r.content))
+        return 1
+
+    if pages is not None:
+        names = docs.select("id", F.explode(F.arrays_zip("source_paths", "sources")).alias("x")).select("id", F.col("x.source_paths").alias("path"), F.col("x.sources").alias("name"))
+        _each(names.join(pages.select("path", "content"), "path").select("id", "name", "content"), copy)
+    return _each(docs.select("id", "ocr_raw", "modern", F.to_json("meta", {"ignoreNullFields": "true"}).alias("meta")), put)
+
+
+def write_texts(df: DataFrame, write: Writer, name: str = "name", text: str = "result", where: str = "") -> int:
+    """A text file for each row, line ends as they are; the number of files. For converted texts and joined pages, see output_name() and batch_name()."""
+
+    def put(r: tuple) -> int:
+        write(where, r.name, r.text.encode())
+        return 1
 
-    return docs.select("id", "ocr_raw", "modern", F.to_json("meta", {"ignoreNullFields": "true"}).alias("meta")).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return _each(df.select(F.col(name).alias("name"), F.col(text).alias("text")), put)
 
 
 def postprocess(df: DataFrame, text: str = "value", out: str = "result", normalize: bool = True, rewriter: Callable | None = None, key: str = "path", tables: T.Tables | None = None) -> DataFrame:

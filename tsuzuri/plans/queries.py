@@ -181,6 +181,21 @@ def normalize_query(spark, sf):
     return digest(folded(spark, sf), X.normalize_query("text"))
 
 
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in FOLD_FROM)
+
+
+@query("SELECT doc_id, md5(text) AS out FROM documents")
+def nfkc(spark, sf):
+    """Full-width letters become ASCII."""
+    docs = files.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return digest(docs, X.nfkc(F.translate("text", FOLD_FROM, _WIDE)))
+
+
+@query("SELECT event_id, round_even(value, 2) AS elapsed FROM events")
+def elapsed(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", X.elapsed("value").alias("elapsed"))
+
+
 # --- findings ---
 
 
@@ -189,18 +204,41 @@ def _sum(spark, sf, c: Column) -> DataFrame:
     return found.select("doc_id", F.size("f").alias("n"), F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x["pos"]).alias("pos_sum"), F.md5(F.array_join(F.transform("f", lambda x: F.concat(x["old"], x["new"])), "").cast("binary")).alias("pairs"))
 
 
-def sql_chars(pairs) -> str:
-    old, new = q("".join(k for k, _ in pairs)), q("".join(v for _, v in pairs))
-    chars = f"(SELECT doc_id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS ch FROM (SELECT doc_id, string_split(text, '') AS c FROM {FOLDED}))"
-    return f"SELECT d.doc_id, coalesce(n, 0)::INT AS n, coalesce(s, 0)::BIGINT AS pos_sum, md5(coalesce(p, '')) AS pairs FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(pos) AS s, string_agg(ch || translate(ch, {old}, {new}), '' ORDER BY pos) AS p FROM {chars} WHERE contains({old}, ch) GROUP BY doc_id) USING (doc_id)"
+_K = T.KANA_CLASS
+#: Each character of the folded texts with its neighbours.
+_CHARS = f"(SELECT doc_id, pos, ch, ch || coalesce(c1, '') AS two, ch || coalesce(c1, '') || coalesce(c2, '') AS three, regexp_matches(coalesce(c0, ''), '[{_K}]') AS kb, regexp_matches(coalesce(c1, ''), '[{_K}]') AS ka FROM (SELECT doc_id, pos, ch, lag(ch) OVER w AS c0, lead(ch) OVER w AS c1, lead(ch, 2) OVER w AS c2 FROM (SELECT doc_id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS ch FROM (SELECT doc_id, string_split(text, '') AS c FROM {FOLDED} WHERE text <> '')) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)))"
+
+
+def sql_values(pairs) -> str:
+    return "(VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in pairs) + ") v(old, new)"
+
+
+def sql_places(pairs, e: str = "ch", where: str = "TRUE") -> str:
+    """(doc_id, old, new, pos) of what ``e``, a few characters from a place on, is replaced by."""
+    return f"SELECT doc_id, old, new, pos::INT AS pos FROM {_CHARS} JOIN {sql_values(pairs)} ON {e} = old WHERE {where}"
+
+
+def sql_found(places: str) -> str:
+    """Their number, sum of places, and a digest of all of them in order."""
+    return f"SELECT d.doc_id, coalesce(n, 0)::INT AS n, coalesce(s, 0)::BIGINT AS pos_sum, md5(coalesce(p, '')) AS pairs FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(pos) AS s, string_agg(old || new, '' ORDER BY pos) AS p FROM ({places}) GROUP BY doc_id) USING (doc_id)"
+
+
+def by_length(pairs, n: int):
+    return [p for p in pairs if len(p[0]) == n]
+
 
+_KANA = [p for phase in T.kana_rules() for p in phase]
+SQL_KANA = f"{sql_places(by_length(_KANA, 1))} UNION ALL {sql_places(by_length(_KANA, 2), 'two')}"
+SQL_PARTICLE = f"{sql_places(by_length(T.COMPOUND_PARTICLES, 3), 'three', 'NOT kb')} UNION ALL {sql_places(by_length(T.COMPOUND_PARTICLES, 2), 'two', 'NOT kb')} UNION ALL {sql_places(T.SINGLE_PARTICLES, 'ch', 'NOT kb AND NOT ka')}"
+SQL_NORMAL = f"{sql_places(T.MISREADS)} UNION ALL {sql_places([T.CONTEXT_MISREAD], 'ch', 'kb')} UNION ALL {sql_places([T.CONTEXT_MISREAD], 'ch', 'ka')}"
 
-@query(sql_chars(KANJI))
+
+@query(sql_found(sql_places(KANJI)))
 def find_old_kanji(spark, sf):
     return _sum(spark, sf, X.find_old_kanji("text"))
 
 
-@query(sql_chars(HENTAI))
+@query(sql_found(sql_places(HENTAI)))
 def find_hentaigana(spark, sf):
     return _sum(spark, sf, X.find_hentaigana("text"))
 
@@ -209,9 +247,9 @@ def sql_count(pattern: str) -> str:
     return f"len(regexp_extract_all(text, {q(pattern)}))"
 
 
-@query(f"SELECT doc_id, {sql_count(plain.kana_pattern())}::INT AS n FROM {FOLDED}")
+@query(sql_found(SQL_KANA))
 def find_historical_kana(spark, sf):
-    return folded(spark, sf).select("doc_id", F.size(X.find_historical_kana("text")).alias("n"))
+    return _sum(spark, sf, X.find_historical_kana("text"))
 
 
 @query(f"SELECT doc_id, {sql_count(plain.kana_pattern())}::INT AS n FROM {FOLDED}")
@@ -219,19 +257,18 @@ def count_historical_kana(spark, sf):
     return folded(spark, sf).select("doc_id", X.count_historical_kana("text").alias("n"))
 
 
-_K = T.KANA_CLASS
 _PARTICLE_COUNT = " + ".join(
     [f"len(regexp_extract_all(text, '(^|[^{_K}]){old}'))" for old, _ in T.COMPOUND_PARTICLES]
     + [f"len(regexp_extract_all(text, '(^|[^{_K}]){old}([^{_K}]|$)')) + len(regexp_extract_all(regexp_replace(text, '(^|[^{_K}]){old}([^{_K}]|$)', '\\1x\\2', 'g'), '(^|[^{_K}]){old}([^{_K}]|$)'))" for old, _ in T.SINGLE_PARTICLES]
 )
 
 
-@query(f"SELECT doc_id, ({_PARTICLE_COUNT})::INT AS n FROM {FOLDED}")
+@query(sql_found(SQL_PARTICLE))
 def find_katakana_particles(spark, sf):
-    return folded(spark, sf).select("doc_id", F.size(X.find_katakana_particles("text")).alias("n"))
+    return _sum(spark, sf, X.find_katakana_particles("text"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT *, '{name}' AS category FROM ({places})" for name, places in (("kanji", sql_places(KANJI)), ("hentaigana", sql_places(HENTAI)), ("kana", SQL_KANA), ("particle", SQL_PARTICLE))))
 def find_all(spark, sf):
     return folded(spark, sf).select("doc_id", F.explode(X.find("text")).alias("f")).select("doc_id", "f.*")
 
@@ -240,9 +277,9 @@ _MIS = "".join(k for k, _ in T.MISREADS)
 _NORMAL_COUNT = f"(length(text) - length(translate(text, {q(_MIS)}, ''))) + len(regexp_extract_all(text, '[{_K}]卜')) + len(regexp_extract_all(text, '卜[{_K}]'))"
 
 
-@query(f"SELECT doc_id, ({_NORMAL_COUNT})::INT AS n FROM {FOLDED}")
+@query(sql_found(SQL_NORMAL))
 def find_normalizations(spark, sf):
-    return folded(spark, sf).select("doc_id", F.size(X.find_normalizations("text")).alias("n"))
+    return _sum(spark, sf, X.find_normalizations("text"))
 
 
 @query(f"SELECT source, count(*)::BIGINT AS docs, sum({_NORMAL_COUNT})::BIGINT AS n_misread, sum({sql_count(plain.kana_pattern())})::BIGINT AS n_kana, sum({_PARTICLE_COUNT})::BIGINT AS n_particle FROM {FOLDED} GROUP BY source")
@@ -290,10 +327,11 @@ def page_join(spark, sf):
     return ocr.joined(pages).select(F.col("session").alias("conv_id"), F.col("ocr_raw").alias("joined"), F.size("source_paths").cast("long").alias("pages"))
 
 
-@query("SELECT conv_id, CASE WHEN count(*) = 1 THEN 'source.png' ELSE 'source_' || printf('%02d', max(turn)) || '.png' END AS name FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn, CASE WHEN n = 1 THEN 'source.png' ELSE 'source_' || printf('%02d', turn) || '.png' END AS name FROM conversations JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (conv_id)")
 def image_names(spark, sf):
-    pages = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("i"))
-    return pages.select("conv_id", X.image_name("source", F.col("i"), F.col("n"), F.lit(".png")).alias("name"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn")
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return turns.join(sizes, "conv_id").select("conv_id", "turn", X.image_name("source", F.col("turn"), F.col("n"), F.lit(".png")).alias("name"))
 
 
 @query("SELECT c_custkey, c_nationkey || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS id FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)")
@@ -347,20 +385,29 @@ def search_boolean(spark, sf):
     return search.matching(titled(spark, sf), ["and", "src1"]).select("id")
 
 
-@query("SELECT gram, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram")
+@query(f"SELECT gram, count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS docs FROM (SELECT id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(lower(t), i, 3))) AS gram FROM (SELECT id, title AS t FROM {_LIB} UNION ALL SELECT id, modern FROM {_LIB}) WHERE length(t) >= 3) GROUP BY gram")
 def trigram_index(spark, sf):
-    docs = titled(spark, sf).withColumn("title", F.lit(""))
-    each = search.postings(docs).groupBy("gram", "id").agg(F.count("*").alias("n"))
+    each = search.postings(titled(spark, sf)).groupBy("gram", "id").agg(F.count("*").alias("n"))
     return each.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
-@query("SELECT item_id AS query_id, d.doc_id::VARCHAR AS id FROM (SELECT item_id, regexp_extract(text, '[a-z]{5,}') AS w FROM benchmark) JOIN documents d ON contains(lower(d.text), w) OR contains(lower(d.source || ' ' || d.lang), w) WHERE w <> ''")
+_WANTED = "(SELECT item_id, regexp_extract_all(text, '[a-z]{3,}')[1:2] AS w FROM benchmark)"
+
+
+@query(f"SELECT item_id AS query_id, d.id FROM {_WANTED} JOIN {_LIB} d ON len(w) > 0 AND len(list_filter(w, lambda x: contains(lower(d.modern), x) OR contains(lower(d.title), x))) = len(w)")
 def query_table(spark, sf):
     docs = titled(spark, sf)
-    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", "[a-z]{5,}", 0).alias("query"))
+    first = F.slice(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0)), 1, 2)
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.array_join(first, " ").alias("query"))
     return search.query_matches(docs, search.postings(docs), queries)
 
 
+@query("SELECT item_id AS query_id, len(w)::INT AS n, CASE WHEN len(w) = 0 THEN 'empty' WHEN len(list_filter(w, lambda x: length(x) < 3)) > 0 THEN 'short' ELSE 'ok' END AS status FROM (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM benchmark)")
+def query_terms(spark, sf):
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.replace("text", F.lit(" "), F.lit("　")).alias("query"))
+    return search.query_terms(queries).select("query_id", F.size("terms").alias("n"), "status")
+
+
 _CHANGE = "CASE WHEN n.k IS NULL THEN 'removed' WHEN o.k IS NOT NULL AND abs(o.t - n.t) < 1e-6 THEN 'unchanged' WHEN n.k % 7 = 0 THEN 'skipped' WHEN o.k IS NULL THEN 'added' ELSE 'updated' END"
 _OLD = "(SELECT o_orderkey AS k, o_orderkey % 3 AS t FROM orders WHERE o_orderkey % 4 <> 0)"
 _NEW = "(SELECT o_orderkey AS k, o_orderkey % 6 AS t FROM orders WHERE o_orderkey % 5 <> 0)"
@@ -410,22 +457,38 @@ def chunk_totals(spark, sf):
     return docs.select("doc_id", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.when(F.col("n") <= 2000, 0).otherwise(stops).alias("sentences"))
 
 
-@query()
+_SENTENCES = f"SELECT doc_id, i, s[i] AS x, length(s[i]) AS k FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_transform({_PIECES}, lambda x: x || '。') AS s FROM {FOLDED} WHERE length(text) > 2000))"
+
+
+@query(f"WITH RECURSIVE s AS MATERIALIZED ({_SENTENCES}), r(doc_id, i, chunk_no, used) AS (SELECT doc_id, i, 0, k FROM s WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, CASE WHEN used + k > 2000 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN used + k > 2000 THEN k ELSE used + k END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1) SELECT doc_id, chunk_no::INT AS chunk_no, string_agg(x, '' ORDER BY i) AS chunk FROM r JOIN s USING (doc_id, i) GROUP BY doc_id, chunk_no UNION ALL SELECT doc_id, 0, {_BODY} FROM {FOLDED} WHERE length(text) <= 2000")
 def chunks_all(spark, sf):
     body = F.replace("text", F.lit("."), F.lit("。"))
     return folded(spark, sf).select("doc_id", F.posexplode(rewrite.chunks(body)).alias("chunk_no", "chunk"))
 
 
-@query(f"SELECT doc_id, 4::INT AS n, md5(text) AS last FROM {FOLDED}")
+@query(f"SELECT doc_id, 4::INT AS n, md5({q(rewrite.DEFAULT_SYSTEM)} || '國国' || text) AS said, 'system user assistant user' AS roles FROM {FOLDED}")
 def prompt_messages(spark, sf):
     m = rewrite.messages(F.col("text"), examples=[("國", "国")])
-    return folded(spark, sf).select("doc_id", F.size(m).alias("n"), F.md5(F.element_at(m, -1)["content"].cast("binary")).alias("last"))
+    said = F.array_join(F.transform(m, lambda x: x["content"]), "")
+    return folded(spark, sf).select("doc_id", F.size(m).alias("n"), F.md5(said.cast("binary")).alias("said"), F.array_join(F.transform(m, lambda x: x["role"]), " ").alias("roles"))
 
 
-@query()
+_STRIP = "trim({}, " + " || ".join(f"chr({ord(c)})" for c in T.WHITE) + ")"
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN length(text) <= 2000 THEN {_STRIP.format('text')} ELSE {_STRIP.format(chr(34) + 'text' + chr(34) + ' || ' + q('。'))} END) AS out FROM {FOLDED}")
 def modernized(spark, sf):
     out = rewrite.modernized(folded(spark, sf), key="doc_id")
     return out.select("doc_id", F.md5(F.col("modern").cast("binary")).alias("out"))
 
 
+@query("SELECT doc_id, 2::INT AS added, 1::INT AS deleted, 3::INT AS n, '[-Ａ-]' || (CASE WHEN length(text) <= 20 THEN text ELSE substr(text, 1, 10) || '…（中略' || (length(text) - 20) || '字）…' || right(text, 10) END) || '{+Ｂ字+}' AS diff, '=== ' || doc_id || ' ===  削除1字 / 追加2字' AS summary FROM documents WHERE text <> ''")
+def diff_known(spark, sf):
+    """A character before and two after: the diff is known."""
+    docs = files.spread(spark.read.parquet(f"{sf}/documents.parquet").where("text <> ''").select("doc_id", "text"))
+    segs = docs.select("doc_id", diff.segments(F.concat(F.lit("Ａ"), "text"), F.concat("text", F.lit("Ｂ字"))).alias("s"))
+    n = segs.select("doc_id", diff.added(F.col("s")).alias("added"), diff.deleted(F.col("s")).alias("deleted"), F.size("s").alias("n"), diff.rendered(F.col("s"), 10).alias("diff"))
+    return n.withColumn("summary", diff.summary(F.col("doc_id").cast("string"), F.col("deleted"), F.col("added")))
+
+
 FLAGSHIP = normalize_text
