@@ -53,8 +53,8 @@ def values(u: np.ndarray) -> np.ndarray:
     return u if u.dtype == np.uint64 else _TABLE[u]
 
 
-def sample(u: np.ndarray, ends: np.ndarray, spec: Spec):
-    """Anchors of concatenated documents: positions, hashes, and hashes of the edges that leave and enter (0: none).
+def sample(u: np.ndarray, ends: np.ndarray, spec: Spec, edges: bool = True):
+    """Anchors of concatenated documents: positions, hashes, hashes of the edges that leave and enter (0: none), and documents.
 
     Works in blocks with margins, so memory does not grow with a text's length."""
     k, w = spec.k, spec.w
@@ -81,6 +81,11 @@ def sample(u: np.ndarray, ends: np.ndarray, spec: Spec):
         keep = np.ones(len(at), bool)
         keep[1:-1] = ~(same[1:] & same[:-1])
         at, doc = at[keep], doc[keep]
+        if not edges:
+            core = (at + lo >= a) & (at + lo < b)
+            none = np.zeros(core.sum(), np.uint64)
+            out.append((at[core] + lo, x[at[core]], none, none, doc[core]))
+            continue
         joined = doc[1:] == doc[:-1]
         edge, enter = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         i = np.flatnonzero(joined & (at[1:] - at[:-1] <= w))

@@ -21,6 +21,7 @@ blocks, whatever its length; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     padded = np.concatenate([t.astype(np.int64) + 1, np.zeros(8, np.int64)])
     for j in range(7):
         key = key * 257 + padded[j : j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_key = key[sa]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -61,7 +62,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         nxt = own + h
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
         both = start[at] * (n + 2) + second
-        o = np.argsort(both, kind="stable")
+        o = np.argsort(both)
         sa[at] = own[o]
         both = both[o]
         fresh = np.concatenate([[True], both[1:] != both[:-1]])
@@ -84,18 +85,17 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     ok = (j > 0) & (before[:-1] >= 0)
     reducible[1:] = ok & (t[:-1] == t[np.maximum(j - 1, 0)])
     plcp = np.zeros(n, np.int64)
+    padded = np.concatenate([t, np.zeros(8, np.uint8)]).astype(np.uint64)
+    eight = sum((padded[j : j + n] << np.uint64(8 * j) for j in range(1, 8)), padded[:n])
     todo = np.flatnonzero(~reducible & (before >= 0))
-    step = 16
-    padded = np.concatenate([t.astype(np.int16), np.full(step, -1, np.int16)])
-    padded[n:] = -1
-    while len(todo):
-        a, b = todo + plcp[todo], before[todo] + plcp[todo]
-        grow = np.arange(step)
-        same = padded[np.minimum(a[:, None] + grow, n)] == padded[np.minimum(b[:, None] + grow, n)]
-        same &= (a[:, None] + grow < n) & (b[:, None] + grow < n)
-        run = np.where(same.all(1), step, same.argmin(1))
-        plcp[todo] += run
-        todo = todo[run == step]
+    a, b = todo, before[todo]
+    while len(todo):  # eight bytes at a time; what lies beyond the end is cut off below
+        differ = eight[a] ^ eight[b]
+        low = differ & (~differ + np.uint64(1))
+        plcp[todo] += np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+        go = (differ == 0) & (a + 8 < n) & (b + 8 < n)
+        todo, a, b = todo[go], a[go] + 8, b[go] + 8
+    plcp = np.minimum(plcp, np.where(before >= 0, n - np.maximum(i, before), 0))
     anchor = np.maximum.accumulate(np.where(reducible, 0, i))
     plcp = np.where(reducible, plcp[anchor] - (i - anchor), plcp)
     out = plcp[sa]
@@ -113,7 +113,7 @@ def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     starts = np.cumsum(sizes + 1) - sizes - 1
     sa = suffix_array(t)
     lcp = common_prefixes(t, sa)
-    part = np.searchsorted(starts, sa, "right") - 1
+    part = np.repeat(np.arange(len(parts)), sizes + 1)[sa]
     offset = sa - starts[part]
     whole = offset + length <= sizes[part]
     # between two whole windows in the order stand only suffixes that share their prefix, or none does
@@ -122,17 +122,18 @@ def equal_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def recurring_anchors(rows: DataFrame, spec: R.Spec) -> DataFrame:
-    """(key, n) of the anchors found twice or more; stored. Counted in each batch first."""
+    """(key, n) of the anchors found twice or more; stored. Counted in each piece of a batch first, so the shuffle comes before the sums."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         us = [u for t in C.texts(batch) if len(u := R.units(t, spec)) >= spec.length]
         if not us:
             return None
-        x = R.sample(np.concatenate(us), np.cumsum([len(u) for u in us]), spec)[1]
-        k, n = np.unique(x.view(np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["key", "n"])
+        x = np.sort(R.sample(np.concatenate(us), np.cumsum([len(u) for u in us]), spec, edges=False)[1].view(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(np.diff(np.append(first, len(x))))], ["key", "n"])
 
-    return C.stored(C.arrow_map(rows.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    each = C.arrow_map(rows.select("text"), run, "key long, n long").repartition("key")
+    return C.stored(each.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
 
 
 def stretches(rows: DataFrame, spec: R.Spec, bloom_keys: int = BLOOM_KEYS) -> DataFrame:
@@ -141,24 +142,41 @@ def stretches(rows: DataFrame, spec: R.Spec, bloom_keys: int = BLOOM_KEYS) -> Da
     small = often.count() <= bloom_keys
     shared = rows.sparkSession.sparkContext.broadcast(C.Bloom.of(often.select("key"))) if small else None
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: list[list] = [[] for _ in range(5)]
+    def found(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        """Anchors, rows, starts, sizes and bytes of stretches, by block."""
         ids, rks = (np.array(batch.column(i), np.int64) for i in (0, 2))
         for i, text in enumerate(C.texts(batch)):
-            data = text.encode()
             u = R.units(text, spec)
             mine = None if small else np.sort(np.asarray(batch.column(3)[i].values, np.int64))
             for s0, low in R.least_anchors(u, spec):
                 first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
                 key = low[first].view(np.int64)
-                ok = shared.value.has(key) if small else mine[np.minimum(np.searchsorted(mine, key), len(mine) - 1)] == key
-                last = np.append(first[1:], len(low)) - 1
-                for a, f, g in zip(key[ok].tolist(), (first[ok] + s0).tolist(), (last[ok] + s0 + spec.length).tolist()):
-                    for c, v in zip(out, (a, ids[i], rks[i], f, data[f:g])):
-                        c.append(v)
-        if not out[0]:
-            return None
-        return pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in out[:4]), pa.array(out[4], pa.binary())], ["a", "ord", "rk", "s", "data"])
+                ok = np.flatnonzero(shared.value.has(key) if small else mine[np.minimum(np.searchsorted(mine, key), len(mine) - 1)] == key)
+                if len(ok):
+                    size = np.append(first[1:], len(low))[ok] - first[ok] + (spec.length - 1)
+                    at = np.repeat(first[ok] + s0 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    yield [key[ok], np.full(len(ok), ids[i]), np.full(len(ok), rks[i]), first[ok] + s0, size, u[at]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            *cols, size, data = (np.concatenate(c) for c in zip(*held))
+            edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), data], ["a", "ord", "rk", "s", "data"])
+
+        total = 0
+        for batch in batches:
+            for piece in C.pieces(batch):
+                for x in found(piece):
+                    held.append(x)
+                    total += len(x[-1])
+                    if total > 16 << 20:
+                        yield out()
+                        held, total = [], 0
+        if held:
+            yield out()
 
     source = rows.select("ord", "text", "rk")
     if not small:
@@ -166,7 +184,7 @@ def stretches(rows: DataFrame, spec: R.Spec, bloom_keys: int = BLOOM_KEYS) -> Da
         total = often.agg(F.sum("n")).first()[0]
         of = C.join_hot(C.stored(occ), often, ["key"], "n", total).groupBy("ord", "rk").agg(F.collect_list("key").alias("keys"))
         source = rows.join(of, ["ord", "rk"]).select("ord", "text", "rk", "keys")
-    out = C.stored(C.arrow_map(source, run, "a long, ord long, rk long, s long, data binary"))
+    out = C.stored(source.mapInArrow(run, "a long, ord long, rk long, s long, data binary"))
     C.discard(often)
     return out
 
@@ -188,6 +206,17 @@ def later(group: np.ndarray, o: np.ndarray, r: np.ndarray, pos: np.ndarray) -> n
     return (o > o[first]) | (pos > pos[mine])
 
 
+def sorted_by(*keys: np.ndarray) -> np.ndarray:
+    """The order by non-negative keys, the first one leading."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 62:
+        return np.lexsort(keys[::-1])
+    both = np.zeros(len(keys[0]), np.int64)
+    for k, b in zip(keys, bits):
+        both = (both << b) | k
+    return np.argsort(both)
+
+
 def within_shard(table: pa.Table, length: int) -> pa.Table:
     """Spans to remove (window null), and of a salted shard the windows that stay, with their bytes."""
     o, r, s = (table.column(c).to_numpy() for c in ("ord", "rk", "s"))
@@ -206,13 +235,17 @@ def within_shard(table: pa.Table, length: int) -> pa.Table:
     n = held[part]
     row = order[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     group, part, offset = (np.repeat(x, n) for x in (group, part, offset))
-    pos, o, r = s[row] + offset, o[row], r[row]
-    order = np.lexsort((pos, r, o, group))
-    group, part, offset, pos, o, r = (x[order] for x in (group, part, offset, pos, o, r))
+    # rows of the shard by ord and rk, so that one number names a row
+    by = np.lexsort((r, o))
+    code = np.empty(len(o), np.int64)
+    code[by] = np.cumsum(np.concatenate([[False], (o[by][1:] != o[by][:-1]) | (r[by][1:] != r[by][:-1])]))
+    pos, who = s[row] + offset, code[row]
+    order = sorted_by(group, who, pos)
+    group, part, offset, pos, who, o, r = (x[order] for x in (group, part, offset, pos, who, o[row], r[row]))
     gone = later(group, o, r, pos) if len(group) else np.zeros(0, bool)
     left = np.flatnonzero(~gone) if salted else np.zeros(0, int)
     at = np.flatnonzero(gone)
-    at = at[np.lexsort((pos[at], r[at], o[at]))]
+    at = at[sorted_by(who[at], pos[at])]
     f, g = as_spans((o[at], r[at]), pos[at], length)
     keys = pa.array([parts[part[i]][offset[i] : offset[i] + length] for i in left.tolist()], pa.binary())
     cols = [np.concatenate([x[at][f], x[left]]) for x in (o, r, pos)] + [np.concatenate([pos[at][g], pos[left]]) + length]
