@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -84,6 +85,66 @@ def test_field_adds_repeats_and_leaves_others():
     assert pii.redact("a b@c.de f", [("email", 2, 8)]) == "a <EMAIL> f"
 
 
+def exact_beliefs(model, unary, chain, links, groups):
+    """Log marginals by summing over all labels of all nodes and skip variables."""
+    n, k = unary.shape
+    total = np.full((n, k), -np.inf)
+    for y in itertools.product(range(k), repeat=n):
+        score = sum(unary[i, v] for i, v in enumerate(y)) + sum(model["chain"][y[i], y[i + 1]] for i in chain)
+        for g in range(groups):  # a variable is summed out on its own
+            score += np.logaddexp.reduce([sum(w * float(model["skip"]) * (y[i] == z) for i, h, w in links if h == g) for z in range(k)])
+        for i, v in enumerate(y):
+            total[i, v] = np.logaddexp(total[i, v], score)
+    return total - np.logaddexp.reduce(total, axis=1, keepdims=True)
+
+
+def planted_texts(n=120):
+    """(text, wanted further spans): a mention that a pattern takes, and far from it a repeat that none takes; and texts with numbers of other kinds."""
+    rng, out = random.Random(11), []
+    far = " ".join(["filler"] * 120)
+    for i in range(n):
+        d = f"{rng.randrange(200, 999)} {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        name = f"{rng.choice(['ann', 'jo', 'kim'])}.{rng.choice(['lee', 'roe', 'fox'])}{rng.randrange(10, 99)}"
+        card = "".join(rng.choice("0123456789") for _ in range(15))
+        card += next(c for c in "0123456789" if plain_luhn(card + c))
+        wrong = card[:6] + str((int(card[6]) + 1) % 10) + card[7:]
+        first, again, kind = [(f"+1 {d}", d, "phone"), (f"{name}@mail.example.com", name, "email"), (f"{name}@mail.example.com", f"{name} (at) mail.example.com", "email"), (card, wrong, "card")][i % 4]
+        text = f"see {first} now. {far} again {again} then."
+        a = text.rindex(again)
+        out.append((text, {(kind, a, a + len(again))}))
+        out.append((f"order {rng.randrange(10**6, 10**7)} of {rng.randrange(10**7, 10**8)} costs {rng.randrange(10**9, 10**10)}. {far} part {rng.randrange(10**10, 10**11)}, call +1 {d}", set()))
+    return out
+
+
+def test_field_against_exact_enumeration():
+    model = pii.fit(sample_texts())
+    rng = random.Random(5)
+    for _ in range(40):
+        n = rng.randrange(2, 5)
+        unary = pii._norm(np.array([[rng.gauss(0, 1.5) for _ in pii.LABELS] for _ in range(n)]))
+        links = [(i, 0, rng.choice([1.0, pii.SIMILAR])) for i in range(n) if rng.random() < 0.7]
+        chain = [] if rng.random() < 0.5 else [i for i in range(n - 1) if rng.random() < 0.5]
+        got, want = (f(model, unary, chain, links, 1) for f in (pii.infer, exact_beliefs))
+        if not chain:  # a tree
+            assert np.abs(got - want).max() < 0.02
+        assert all(got[i].argmax() == want[i].argmax() or np.sort(want[i])[-1] - np.sort(want[i])[-2] < 0.6 for i in range(n))
+    for text, _ in planted_texts(24):  # the spans of whole texts
+        base, ns, unary, chain, links, groups = pii.field(text, model)
+        best = exact_beliefs(model, unary, chain, links, groups).argmax(1)
+        want = base + [(pii.LABELS[y], a, b) for (a, b, k), y in zip(ns, best) if k is None and y]
+        assert sorted(pii.find(text, model)[1]) == sorted(want)
+
+
+def test_planted_repeats_are_found():
+    model = pii.fit(sample_texts())
+    hit = wanted = found = 0
+    for text, want in planted_texts():
+        base, every = pii.find(text, model)
+        more = set(every) - set(base)
+        hit, wanted, found = hit + len(more & want), wanted + len(want), found + len(more)
+    assert hit >= 0.95 * wanted and hit >= 0.98 * found, (hit, wanted, found)
+
+
 def test_personal_data_table(spark):
     rows = [*ODD, *((10 + i, t) for i, t in enumerate(sample_texts()[:40]))]
     got = {(r["doc_id"], r["base_sha256"]): r for r in pii.detect(table(spark, rows)).collect()}
@@ -127,6 +188,20 @@ def test_random_strings_are_found():
         assert not [s for s in secrets.find(clean, count)[1] if s[0] == "random"], clean
 
 
+def test_planted_secrets_recall_and_precision():
+    """Random strings of several alphabets and lengths, and names, paths, digests and identifiers."""
+    rng = random.Random(8)
+    enc = secrets.tokenizer(*tokenizer_files())
+    count = lambda s: len(enc.encode_ordinary(s))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    planted = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet in (letters + digits, letters + digits + "+/", letters[:26] + digits, letters[26:] + digits) for n in (24, 32, 40, 64) for _ in range(40)]
+    found = sum(any(k == "random" for k, _, _ in secrets.find(f"value {r} end", count)[1]) for r in planted)
+    words = "configuration service account manager request response handler builder factory document session storage network".split()
+    clean = ["".join(w.title() for w in rng.sample(words, 4)) for _ in range(150)] + ["_".join(rng.sample(words, 4)) + str(rng.randrange(99)) for _ in range(150)] + [hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(50)] + ["/".join(rng.sample(words, 4)) + "/v2" for _ in range(100)]
+    wrong = sum(any(k == "random" for k, _, _ in secrets.find(f"value {r} end", count)[1]) for r in clean)
+    assert found >= 0.95 * len(planted) and wrong == 0, (found, len(planted), wrong)
+
+
 def test_secrets_table(spark):
     rows = [*ODD, (5, "token = 12345678"), (5, "token = 12345678"), (6, "AKIA" + "A" * 12)]
     got = secrets.detect(table(spark, rows), *tokenizer_files()).collect()

@@ -162,9 +162,10 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, by: list[str], rows: int, most: int) -> DataFrame:
-    """At most ``most`` of about ``rows`` rows, picked by their hash: nothing is sorted, and no task sends more than its share."""
+    """At most ``most`` of about ``rows`` rows, those of the least hash; of rows that agree in ``by`` any one. A threshold leaves few to sort, and no task sends more than its share."""
+    hash_ = F.xxhash64(*by)
     cut = -(1 << 63) + min(1.0, 0.9 * most / max(rows, 1)) * float(1 << 64)
-    return (df.where(F.xxhash64(*by).cast("double") <= cut) if 0.9 * most < rows else df).limit(most)
+    return (df.where(hash_.cast("double") <= cut) if 0.9 * most < rows else df).orderBy(hash_).limit(most)
 
 
 def span_string(spans: list[tuple[str, int, int]], order: dict[str, int]) -> str:

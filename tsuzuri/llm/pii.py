@@ -3,13 +3,20 @@
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. Nodes of the field are the base
 spans (clamped) and weaker candidates: digit groups that no pattern took, spelled-out addresses such as
 ``name (at) host``, and repeats of a found address's local part. Neighbouring nodes are joined in a chain.
-Nodes with equal or similar tokens (same last ten digits, same local part), however far apart, hang on one
-shared variable, which costs as many messages as nodes, not pairs. Loopy sum-product passes with damping then
-make labels agree over the whole document. Unary weights are a softmax fitted on nodes of a bounded sample of
-documents labelled by the base patterns; chain and skip potentials are estimated from the same sample.
-
-Defined results: null or empty text gives no spans; a null doc_id stays null; repeated rows give equal rows;
-an empty table gives an empty result (the field then has its prior weights); other columns are ignored.
+Nodes with equal tokens (same last ten digits, same local part) or similar ones (same last seven digits; one half of a long
+number, so one wrong digit does not matter; a local part but for case, dots and hyphens), however far apart, hang on one
+shared variable each, which costs as many messages as nodes, not pairs. Loopy sum-product passes with damping then
+make labels agree over the whole document.
+
+Unary weights are a softmax fitted on a bounded sample of documents (at most ``sample_docs``, of at most ``sample_chars`` characters each):
+candidates are labelled ``none``, and each base span also gives a masked copy, weakened as a missed mention would be (a phone number
+without its country code, a spelled-out address, a card number with a wrong digit), half of it under its label, half as ``none``. Chain and skip potentials are
+estimated from the same sample. ``DOUBT`` keeps candidates that nothing supports out.
+
+Defined results: null or empty text gives no spans; a null doc_id stays null; repeated rows give equal rows; of equally likely labels
+``none`` wins, then the kinds as listed; of overlapping candidates the first one counts, of those with one start the longest; texts are
+read whole, in time linear in their length; an empty table gives an empty result (the field then has its prior weights); other columns,
+whatever their names, are ignored by ``detect`` and kept by ``redacted``.
 """
 
 from __future__ import annotations
@@ -111,29 +118,51 @@ def features(s: str) -> list[float]:
     return [1.0, n < 10, 10 <= n <= 13, 14 <= n <= 16, n > 16, s[:1] == "+", n >= 14 and luhn(d), len(parts) == 4 and all(p.isdigit() for p in parts), "@" in s, bool(_MARK.search(s)), any(c.isalpha() for c in s), "(" in s or " " in s or "-" in s]
 
 
-def keys(s: str, kind: str | None) -> list[str]:
-    """What a node shares with equal or similar ones."""
+def keys(s: str, kind: str | None) -> list[tuple[str, float]]:
+    """What a node shares with equal (weight 1) or similar ones."""
     out = []
     d = _NOT_DIGIT.sub("", s)
     if s.count(".") == 3 and kind in (None, "ip"):
-        out.append("i" + s.strip("()"))
-    elif len(d) >= 10 and "@" not in s:
-        out.append("d" + d[-10:])
+        out.append(("i" + s.strip("()"), 1.0))
+    elif len(d) >= 7 and "@" not in s:
+        if len(d) >= 10:
+            out.append(("d" + d[-10:], 1.0))
+        if len(d) >= 14:
+            out += [("h" + d[:8], HALF), ("t" + d[-8:], HALF)]
+        else:
+            out.append(("s" + d[-7:], SIMILAR))
+    local = None
     if kind == "email":
-        out.append("l" + s.partition("@")[0].lower())
+        local = s.partition("@")[0]
     elif kind is None and not s[0].isdigit() and s[0] != "(":
-        out.append("l" + re.split(r" ?[(\[{]at[)\]}]", s, maxsplit=1)[0].lower())
+        local = re.split(r" ?[(\[{]at[)\]}]", s, maxsplit=1)[0]
+    if local:
+        out += [("l" + local.lower(), 1.0), ("m" + re.sub("[._%+-]", "", local.lower()), SIMILAR)]
     return out
 
 
+def weakened(kind: str, s: str) -> list[str]:
+    """How a mention might stand where no pattern takes it."""
+    if kind == "phone":
+        return [re.sub(r"^\+[0-9]{1,3}?[ .-]", "", s)]
+    if kind == "email":
+        local, _, host = s.partition("@")
+        return [f"{local} (at) {host}", local]
+    if kind == "card":
+        return [s[:-1] + str((int(s[-1]) + 1) % 10)]
+    return [f"({s})"]
+
+
 def nodes(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, str | None]]]:
     base = base_spans(text)
     weak = candidates(text, base)
     return base, sorted([(a, b, k) for k, a, b in base] + [(a, b, None) for a, b in weak], key=lambda x: (x[0], x[1], x[2] or ""))
 
 
-#: Characters between neighbours in the chain; passes of the messages; damping; log odds against a candidate that no pattern took.
+#: Characters between neighbours in the chain; passes of the messages; damping; log odds against a mention that no pattern took.
 NEAR, PASSES, DAMP, DOUBT = 64, 12, 0.5, 2.0
+#: Weights of links between similar tokens: by seven digits or a local part's letters, and by half of a long number. Equal tokens have 1.
+SIMILAR, HALF = 0.7, 1.5
 
 
 def prior() -> dict[str, np.ndarray]:
@@ -141,27 +170,31 @@ def prior() -> dict[str, np.ndarray]:
 
 
 def fit(sample: list[str], steps: int = 300, l2: float = 1e-3) -> dict[str, np.ndarray]:
-    """Softmax weights by gradient descent, chain potentials as log ratios, the skip potential as log odds that linked base spans agree."""
+    """Softmax weights by gradient descent on candidates and masked base spans, chain potentials as log ratios, the skip potential as log odds that linked base spans agree."""
     model, n = prior(), len(LABELS)
     xs, ys = [], []
     pair, agree, total = np.ones((n, n)), 0, 0
+    # a masked copy stands for a mention or for nothing: it never speaks for a kind by itself
+    target = {k: np.eye(n)[0] / 2 + np.eye(n)[LABELS.index(k)] / 2 for k in KINDS} | {None: np.eye(n)[0]}
     for text in sample:
         _, ns = nodes(text)
         labels = [LABELS.index(k) if k else 0 for _, _, k in ns]
-        xs += [features(text[a:b]) for a, b, _ in ns]
-        ys += labels
+        for a, b, k in ns:
+            forms = weakened(k, text[a:b]) if k else [text[a:b]]
+            xs += [features(x) for x in forms]
+            ys += [target[k]] * len(forms)
         for (x, y), (p, q) in zip(zip(ns, ns[1:]), zip(labels, labels[1:])):
             if y[0] - x[1] <= NEAR:
                 pair[p, q] += 1
         seen: dict[str, int] = {}
         for (a, b, k), y in zip(ns, labels):
-            for key in keys(text[a:b], k) if k else ():
+            for key, _ in keys(text[a:b], k) if k else ():
                 if key in seen:
                     total += 1
                     agree += seen[key] == y
                 seen[key] = y
     if xs:
-        x, y = np.array(xs, float), np.eye(n)[ys]
+        x, y = np.array(xs, float), np.array(ys)
         w = model["unary"]
         for _ in range(steps):
             z = x @ w
@@ -179,15 +212,15 @@ def _norm(x: np.ndarray) -> np.ndarray:
     return x - np.logaddexp.reduce(x, axis=-1, keepdims=True)
 
 
-def infer(model: dict[str, np.ndarray], unary: np.ndarray, chain: list[int], links: list[tuple[int, int]], groups: int) -> np.ndarray:
-    """Log beliefs of the nodes. chain: i for an edge between i and i + 1; links: (node, group of its skip variable)."""
+def infer(model: dict[str, np.ndarray], unary: np.ndarray, chain: list[int], links: list[tuple[int, int, float]], groups: int) -> np.ndarray:
+    """Log beliefs of the nodes. chain: i for an edge between i and i + 1; links: (node, group of its skip variable, weight)."""
     n, k = unary.shape
     t, skip = model["chain"], float(model["skip"])
     e = np.array(chain, int)
     right, left = np.zeros((len(e), k)), np.zeros((len(e), k))
     who, grp = (np.array([x[i] for x in links], int) for i in (0, 1))
     up, down = np.zeros((len(links), k)), np.zeros((len(links), k))
-    agree = np.where(np.eye(k, dtype=bool), skip, 0.0)
+    agree = np.eye(k) * skip * np.array([x[2] for x in links]).reshape(-1, 1, 1)
     bel = unary
     for _ in range(PASSES):
         if len(e):
@@ -195,11 +228,11 @@ def infer(model: dict[str, np.ndarray], unary: np.ndarray, chain: list[int], lin
             new_l = _norm(np.logaddexp.reduce((bel[e + 1] - right)[:, None, :] + t[None], axis=2))
             right, left = DAMP * right + (1 - DAMP) * new_r, DAMP * left + (1 - DAMP) * new_l
         if len(who):
-            new_up = _norm(np.logaddexp.reduce((bel[who] - down)[:, :, None] + agree[None], axis=1))
+            new_up = _norm(np.logaddexp.reduce((bel[who] - down)[:, :, None] + agree, axis=1))
             up = DAMP * up + (1 - DAMP) * new_up
             tot = np.zeros((groups, k))
             np.add.at(tot, grp, up)
-            new_down = _norm(np.logaddexp.reduce((tot[grp] - up)[:, :, None] + agree[None], axis=1))
+            new_down = _norm(np.logaddexp.reduce((tot[grp] - up)[:, :, None] + agree, axis=1))
             down = DAMP * down + (1 - DAMP) * new_down
         before, bel = bel, unary.copy()
         np.add.at(bel, e + 1, right)
@@ -210,27 +243,36 @@ def infer(model: dict[str, np.ndarray], unary: np.ndarray, chain: list[int], lin
     return _norm(bel)
 
 
-def find(text: str, model: dict[str, np.ndarray]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans."""
+def field(text: str, model: dict[str, np.ndarray]) -> tuple[list, list, np.ndarray, list[int], list[tuple[int, int, float]], int]:
+    """Base spans, nodes, and the field over them: unary potentials, chain edges, skip links and the number of their variables."""
     base, ns = nodes(text)
-    if len(ns) == len(base):
-        return base, base
-    unary = _norm(np.array([features(text[a:b]) for a, b, _ in ns], float) @ model["unary"])
+    unary = _norm(np.array([features(text[a:b]) for a, b, _ in ns], float).reshape(-1, N_FEATURES) @ model["unary"])
     unary[:, 0] += DOUBT
     ids: dict[str, int] = {}
-    links = [(i, ids.setdefault(key, len(ids))) for i, (a, b, k) in enumerate(ns) for key in keys(text[a:b], k)]
+    links = [(i, ids.setdefault(key, len(ids)), w) for i, (a, b, k) in enumerate(ns) for key, w in keys(text[a:b], k)]
     for i, (_, _, k) in enumerate(ns):
         if k:
             unary[i] = np.where(np.arange(len(LABELS)) == LABELS.index(k), 0.0, -30.0)
     chain = [i for i in range(len(ns) - 1) if ns[i + 1][0] - ns[i][1] <= NEAR]
-    best = infer(model, unary, chain, links, len(ids)).argmax(1)
+    # a variable that one node alone hangs on says nothing
+    many = np.bincount([g for _, g, _ in links], minlength=len(ids)) > 1
+    at = np.cumsum(many) - 1
+    return base, ns, unary, chain, [(i, int(at[g]), w) for i, g, w in links if many[g]], int(many.sum())
+
+
+def find(text: str, model: dict[str, np.ndarray]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans, and all spans."""
+    base, ns, unary, chain, links, groups = field(text, model)
+    if len(ns) == len(base):
+        return base, base
+    best = infer(model, unary, chain, links, groups).argmax(1)
     return base, base + [(LABELS[y], a, b) for (a, b, k), y in zip(ns, best) if k is None and y]
 
 
-def train(docs: DataFrame, sample_docs: int = 2000) -> dict[str, np.ndarray]:
-    """Fit on a bounded sample: of documents of 20,000 characters or less, about ``sample_docs`` at most, those with the least hash of doc_id and text."""
+def train(docs: DataFrame, sample_docs: int = 2000, sample_chars: int = 20_000) -> dict[str, np.ndarray]:
+    """Fit on a bounded sample: of documents of ``sample_chars`` characters or less, about ``sample_docs`` at most, those with the least hash of doc_id and text."""
     rows = C.id_text(docs)
-    return fit([r["text"] or "" for r in C.hashed_sample(rows.where(F.length("text") <= 20_000), ["doc_id", "text"], rows.count(), sample_docs).select("text").collect()])
+    return fit([r["text"] or "" for r in C.hashed_sample(rows.where(F.length("text") <= sample_chars), ["doc_id", "text"], rows.count(), sample_docs).select("text").collect()])
 
 
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
