@@ -75,7 +75,7 @@ def test_documents(spark, most):
     for d, t in docs:
         want = D._verdict([(n, sum(brute_tiles(x, [index.vocabulary.get(w, -1) for w in D.words(t or "")], 5)), len(x)) for n, x in enumerate(index.items) if x and brute_tiles(x, [index.vocabulary.get(w, -1) for w in D.words(t or "")], 5)], index.ids, D.COVERAGE)
         r = by[d][0]
-        assert (r["n_items"], r["item_id"], r["n_matched"], r["contaminated"]) == (want[0], want[1], want[2], want[4]) or d == 103
+        assert (r["n_items"], r["item_id"], r["n_matched"], r["contaminated"]) == (want[0], want[1], want[2], want[4])
     kept = D.cleaned(table(spark, docs), bench, most=most)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in bad) and len(kept.columns) == 8
 

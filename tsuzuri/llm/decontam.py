@@ -190,21 +190,24 @@ def _index(benchmark: DataFrame, least: int, most: int) -> Index | None:
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
-    """(rk, found): tiles with items by a join of seed hashes; only documents that share one."""
+    """(rk, found): tiles with items by a join of seed hashes; only documents that share one. A filter of the benchmark's seeds goes to all tasks, and seeds that very many documents hold are joined apart."""
 
-    def seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def seeds(batch: pa.RecordBatch, wanted: C.Bloom | None = None) -> pa.RecordBatch:
         hs = []
         for text in C.texts(batch):
             x = np.fromiter(map(xxhash.xxh64_intdigest, words(text)), np.uint64)
-            hs.append(np.unique(H.windows(H.prefixes(x), least)).view(np.int64))
+            h = np.unique(H.windows(H.prefixes(x), least)).view(np.int64)
+            hs.append(h[wanted.has(h)] if wanted else h)
         who = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(np.concatenate(hs))], ["key", "seed"])
 
     rows = C.id_text(docs).select(C.row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["rk"])
     items = _items(benchmark).withColumn("ik", F.xxhash64("item_id", "item"))
-    a = C.arrow_map(rows, seeds, "key binary, seed long")
-    b = C.arrow_map(items.select("ik", F.col("item").alias("text")), seeds, "key long, seed long").select(F.col("key").alias("ik"), "seed")
-    pairs = C.stored(a.join(b, "seed").select(F.col("key").alias("rk"), "ik").distinct())
+    b = C.stored(C.arrow_map(items.select("ik", F.col("item").alias("text")), seeds, "key long, seed long").groupBy("seed").agg(F.collect_set("key").alias("iks")))
+    shared = docs.sparkSession.sparkContext.broadcast(C.Bloom.of(C.stored(b.select(F.col("seed").alias("key")))))
+    a = C.stored(C.arrow_map(rows, lambda batch: seeds(batch, shared.value), "key binary, seed long"))
+    often = C.stored(b.join(a.groupBy("seed").agg(F.count("*").alias("n")), "seed"))
+    pairs = C.stored(C.join_hot(a, often, ["seed"], "n", max(a.count(), 1)).select(F.col("key").alias("rk"), F.explode("iks").alias("ik")).distinct())
 
     def tile(batch: pa.RecordBatch) -> pa.RecordBatch:
         rk, item_id, m, size = [], [], [], []
