@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of docs;
 where a text changes, n_chars follows it.
+
+Defined results: a null, empty or white text, as one of under 50 words, is rejected by the first stage; a null doc_id is kept and stays null (of a
+group of near copies the least doc_id stays, a null one only if there is no other); repeated rows are one group, of which one stays; texts are
+worked on whole, whatever their length; a source that is null is a source of its own; other columns, whatever their names, are kept by all
+stages but the last; an empty table, or a benchmark without items, gives empty results without error, or no rejections.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import corpus_pipeline as P
 from tsuzuri.llm import common as C
@@ -55,3 +56,26 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted(map(tuple, seen[5])) == want
     assert sorted(map(tuple, P.run(spark, str(tmp_path)).collect())) == want
     assert simhash.BUCKET and 4 <= len(P.STAGES) <= 5
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, a very long text, an empty table and an empty benchmark."""
+    rng = random.Random(6)
+    body = lambda k, n=80: " ".join(f"k{k}w{rng.randrange(10**6)}" for _ in range(n))
+    copy, null_only = body(1), body(2)
+    docs = [(None, copy), (5, copy), (5, copy), (None, null_only, None), (None, null_only, None), (6, None), (7, ""), (8, " \n "), (9, body(3, 60_000), None), (None, body(4), "hostA"), (10, body(5) + " mail a.b@c.de " + "x" * 5000)]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = C.documents(spark, str(tmp_path))
+    columns = now.columns
+    for _, stage in P.STAGES[:-1]:
+        now = C.stored(stage(spark, now, str(tmp_path)))
+        assert now.columns == columns
+    left = sorted((str(r["doc_id"]), r["text"][:20]) for r in now.collect())
+    assert left == sorted((str(d), t[:20]) for d, t in [(5, copy), (None, null_only), (9, docs[8][1]), (None, docs[9][1]), (10, docs[10][1])])
+    assert all(r["n_chars"] == len(r["text"]) and "a.b@c.de" not in r["text"] for r in now.collect())
+    out = P.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(d for d, _ in left)
+    empty = table(spark, docs).where("n_chars = -1")
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
