@@ -5,8 +5,9 @@ Two levels of 256-bit words say which buckets hold something, so find-first-set
 whatever the length. Positions leave a bucket from left to right; an entry whose pair has changed meanwhile is skipped.
 A merge costs the same in a pre-token of a million bytes as in a short one.
 
-Defined results: null or empty text gives no ids; a null doc_id stays null; repeated rows give equal rows; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null or empty text gives no ids; a null doc_id stays null; repeated rows give equal rows; of pairs with equal
+rank the leftmost is merged first; texts are encoded whole, very long pre-tokens by the queue in n log n steps; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

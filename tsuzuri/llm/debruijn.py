@@ -6,7 +6,8 @@ doc_id loses that stretch at once: source coordinates (document, first and last
 settle, those over a path's ends, are compared one by one, by 96 bits of hash of their 50 words.
 
 Defined results: null or empty text has no words (digest of the empty string); a null doc_id comes before all others; rows with
-one doc_id never remove from one another; an empty table gives an empty result; other columns are ignored.
+one doc_id never remove from one another; repeated rows get equal rows; texts are read whole, in blocks where they are very long; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ the item, but their order is free, so reordered passages are caught. If tiles co
 Up to ``BROADCAST_CHARS`` of benchmark text go to every task; beyond that, seeds of both sides meet in a join of hashes.
 
 Defined results: null or empty text has no tokens and is clean; items with fewer tokens than a seed, or null ones, match nothing; a null
-doc_id stays null; repeated rows give equal rows; an empty table or benchmark gives no matches; other columns are kept by ``cleaned``
-and ignored by ``matches``.
+doc_id stays null; repeated rows give equal rows; of items covered equally the least item_id is named, and of tiles of one length the first found is
+marked first; texts are read whole, whatever their length; an empty table or benchmark gives no matches; other columns, whatever their
+names, are kept by ``cleaned`` and ignored by ``matches``.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ pair with less. Groups of candidates are then searched by the exact similarity o
 leaves a task. A group of over ``GROUP`` sets is cut into blocks, each pair of blocks a task of its own.
 
 Defined results: words are as in ``common``, lower-cased; a text of fewer than ``WIDTH`` words is one shingle; null, empty and white
-texts are equal; repeated rows count once; an empty table gives an empty result; columns are kept.
+texts are equal; a pair at exactly ``LEAST`` is linked; repeated rows count once, and one of them stays; texts are read whole, whatever their
+length; an empty table gives an empty result; columns, whatever their names, are kept.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ A byte-pair vocabulary spends few tokens on what looks like language and many on
 ``[A-Za-z0-9+/_=-]`` that no base pattern took is a secret if it has few characters for each token. Known digests (hex of
 the usual lengths), identifiers (UUIDs, plain numbers, one-case words) and short runs are left out.
 
-Defined results: null or empty text gives no spans; a null doc_id stays null; repeated rows give equal rows; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null or empty text gives no spans; a null doc_id stays null; repeated rows give equal rows; spans that
+start together stand in the order of the kinds; a run at exactly the limit is not random; texts are read whole, whatever their length; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Numbering: range partitions, sorted; a partition's rows are counted once and an
 goes back. Equal rows are told apart by their place in the input, so a key that holds a third of all rows is still split.
 
 Defined results: null or empty text has size 16 and crc32 0; a null doc_id comes first; repeated rows each get a place of
-their own; an empty table gives an empty result; other columns are ignored.
+their own; a text is only measured, whatever its length; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ into blocks, each pair of blocks a task of its own.
 Only the plan is estimated, from a bounded sample of fingerprints: any plan finds every link.
 
 Defined results: null or empty text, or white space alone, has fingerprint zero, linked like any other; a null doc_id gets a
-component_id from the others (null if there is none); repeated rows give equal rows; an empty table gives an empty result;
-other columns are kept by ``deduplicated`` and ignored by ``fingerprints`` and ``near_copies``.
+component_id from the others (null if there is none); repeated rows give equal rows; a bit that exactly half of the
+shingles set is 0; texts are read whole, whatever their length; an empty table gives an empty result; other columns, whatever their names, are kept by ``deduplicated`` and ignored by ``fingerprints`` and ``near_copies``.
 """
 
 from __future__ import annotations
