@@ -202,6 +202,10 @@ def test_records(spark):
     rows = [(i, b, i) for i, b in enumerate(["X", "X", "X-2", "Y", "X"])]
     ids = library.unique_ids(spark.createDataFrame(rows, "k int, base string, arrival int"), spark.createDataFrame([("X",), ("Y",), ("Y-2",)], "id string"))
     assert [r["id"] for r in ids.orderBy("k").collect()] == ["X-2", "X-3", "X-2-2", "Y-3", "X-4"]
+    rows = [(i, b, i) for i, b in enumerate(["a", "b-7", "a", "a", "c", "b-7", "a"])]
+    taken = spark.createDataFrame([(x,) for x in ("a-1", "a-2", "a-3", "a-05", "a-x", "a-5-2", "b", "b-7-2", "a-5")], "id string")
+    ids = library.unique_ids(spark.createDataFrame(rows, "k int, base string, arrival int"), taken)
+    assert [r["id"] for r in ids.orderBy("k").collect()] == ["a", "b-7", "a-4", "a-6", "c", "b-7-3", "a-7"]
     docs = spark.sql("select array('input/a b.png', 'input/c.png') source_paths, '\n題\n本文' ocr_raw, '本文' modern, named_struct('model', 'm', 'prompt', 'p', 'elapsed_seconds', 1.239D) ocr, named_struct('old_kanji', true, 'historical_kana', true, 'ocr_misread_correction', true) normalization, named_struct('enabled', false, 'model', '') modernize, cast(null as array<string>) tags, cast(null as string) note, 1 arrival")
     rec = library.records(docs, F.lit("2026-05-24 01:00:00").cast("timestamp"), spark.createDataFrame([], "id string"))
     r = rec.first()

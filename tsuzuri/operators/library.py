@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
@@ -20,9 +20,22 @@ SCHEMA_VERSION = 1
 def unique_ids(records: DataFrame, existing: DataFrame, base: str = "base", order: str = "arrival") -> DataFrame:
     """``records`` with ``id``: the base name, or with -2, -3, ... where that is taken by an existing id or an earlier record.
 
-    Bases are few rows each; a base that itself looks numbered shares its root's group, so it sees the names given there."""
-    root = F.regexp_replace(F.col(base), r"(-[0-9]+)+$", "")
-    taken = existing.select(F.regexp_replace("id", r"(-[0-9]+)+$", "").alias("__root"), F.col("id").alias("__taken"))
+    A base's k-th record takes the k-th number that no existing id has. Only where one base looks like another one with a number do their
+    records see each other's names; these few names are given in turn."""
+    root = lambda c: F.regexp_replace(c, r"(-[0-9]+)+$", "")
+    rows = records.withColumn("__root", root(F.col(base)))
+    taken = existing.select(root(F.col("id")).alias("__root"), F.col("id").alias("__taken"))
+    mixed = rows.groupBy("__root").agg(F.min(base).alias("a"), F.max(base).alias("b")).where("a <> b").select("__root")
+
+    plain = rows.join(mixed, "__root", "left_anti")
+    digits = F.regexp_extract(F.expr("substr(__taken, length(__base) + 2)"), "^([2-9]|[1-9][0-9]{1,8})$", 1)
+    number = F.when(F.col("__taken") == F.col("__base"), 1).when(F.col("__taken").startswith(F.concat("__base", F.lit("-"))), digits.try_cast("int"))
+    numbers = plain.select("__root", F.col(base).alias("__base")).distinct().join(taken, "__root").select("__base", number.alias("n")).where("n is not null")
+    # free numbers below each taken one
+    free = numbers.groupBy("__base").agg(F.transform(F.array_sort(F.collect_set("n")), lambda n, i: n - i - 1).alias("__free"))
+    given = plain.withColumn("__k", F.row_number().over(Window.partitionBy(base).orderBy(order))).join(free.withColumnRenamed("__base", base), base, "left")
+    n = F.col("__k") + F.coalesce(F.size(F.filter("__free", lambda f: f < F.col("__k"))), F.lit(0))
+    given = given.withColumn("id", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", base, n.cast("string"))))
 
     def place(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         used, ids, last = set(right["__taken"]), [], {}
@@ -37,8 +50,10 @@ def unique_ids(records: DataFrame, existing: DataFrame, base: str = "base", orde
             ids.append(name)
         return left.drop(columns="__root").assign(id=ids)
 
-    schema = records.schema.add("id", "string") if "id" not in records.columns else records.schema
-    return records.withColumn("__root", root).groupBy("__root").cogroup(taken.groupBy("__root")).applyInPandas(place, schema)
+    schema = records.drop("id").schema.add("id", "string")
+    few = rows.drop("id").join(mixed, "__root", "left_semi")
+    turned = few.groupBy("__root").cogroup(taken.join(mixed, "__root", "left_semi").groupBy("__root")).applyInPandas(place, schema)
+    return given.select(*schema.names).unionByName(turned)
 
 
 def meta(now: Column) -> Column:
