@@ -16,12 +16,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not size:
             break
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
-        large = C.stored(C.join_hot(both.where("v > u"), C.stored(least), ["u"], "n", 2 * size).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = C.stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n"))
+        large = C.stored(C.join_hot(both.where("v > u"), least, ["u"], "n", 2 * size).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = C.stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = C.join_hot(large, low, ["u"], "n", size)
         nxt = C.stored(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
-        C.discard(large, low)
+        C.discard(least, large, low)
         # a star forest stays as it is
         same = nxt.count() == size and not nxt.join(now, ["u", "v"], "left_anti").limit(1).count()
         C.discard(now)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import hashing as H
 
-MIN_MATCH, COVERAGE, BROADCAST_CHARS = 5, 0.5, 32_000_000
+MIN_MATCH, COVERAGE, BROADCAST_CHARS = 5, 0.5, 8_000_000
 _TOKEN = re.compile(r"[^\W_]+").findall
 
 

@@ -104,12 +104,15 @@ def links(docs: DataFrame, rows: DataFrame, group: int = GROUP) -> DataFrame:
     spread = one.select("of", F.explode("bands").alias("band"))
     shared = C.stored(spread.groupBy("band").agg(F.min("of").alias("to"), F.count("*").alias("n")).where("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
-    met = spread.join(C.small(shared.select("band", "to")), "band") if shared.count() <= C.SMALL else C.join_hot(spread, shared, ["band"], "n", total)
+    if shared.count() <= C.SMALL:
+        met = spread.join(F.broadcast(shared.select("band", "to")), "band")
+    else:
+        met = C.join_hot(spread, shared, ["band"], "n", total)
     found = components(met.where("of != to").select(F.col("of").alias("a"), F.col("to").alias("b")))
     member = C.stored(found.select("node", "root").union(found.select("root", "root")).distinct())
     sizes = C.stored(member.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.count("*") / group).cast("int").alias("blocks")))
-    blocks = C.join_hot(member, sizes, ["root"], "n", max(member.count(), 1))
-    pick = C.stored(blocks.join(one.select("of", "rk"), F.col("node") == F.col("of")).select("root", "blocks", "of", F.col("rk").alias("pick")))
+    cut = C.join_hot(member, sizes, ["root"], "n", max(member.count(), 1))
+    pick = C.stored(cut.join(one.select("of", "rk"), F.col("node") == F.col("of")).select("root", "blocks", "of", F.col("rk").alias("pick")))
     C.discard(one, shared, member, sizes)
 
     text = docs.select(F.col("text").cast("string").alias("text"), C.row_key().alias("rk")).join(C.small(pick), F.col("rk") == F.col("pick")).select("text", "root", "blocks", "of")
