@@ -97,6 +97,8 @@ def test_scores_against_brute_force(spark, monkeypatch, cache):
         monkeypatch.setattr(C, "HOT", 20)
         monkeypatch.setattr(pst, "BLOOM_BITS", 64)
         monkeypatch.setattr(pst, "SYMBOLS", 10)
+        monkeypatch.setattr(pst, "TASKS", 0)
+        monkeypatch.setattr(C.Bloom, "LISTED", 0)
     tree, _ = check_scores(spark, rows)
     assert {len(c) for c in tree} == {1, 2, 3}
 

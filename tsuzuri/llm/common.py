@@ -99,17 +99,25 @@ class Bloom:
     mask: int
     cells: np.ndarray
 
+    LISTED = 4_000_000
+
     @classmethod
     def of(cls, keys: DataFrame, most: int = 1 << 28) -> Bloom:
-        """``keys``: (key), well mixed, stored. At most ``most`` bits, and as many reach the driver."""
-        n = 1024
-        while n < min(16 * keys.count(), most):
+        """``keys``: (key), well mixed, stored. At most ``most`` bits. Up to LISTED keys reach the driver; of more, only the bits."""
+        n, count = 1024, keys.count()
+        while n < min(16 * count, most):
             n *= 2
+        out = np.zeros(n // 64, np.uint64)
+        if count <= cls.LISTED:
+            for chunk in keys.toArrow().column(0).chunks:
+                k = np.asarray(chunk, np.int64).view(np.uint64)
+                for b in (k & np.uint64(n - 1), (k >> np.uint64(32)) & np.uint64(n - 1)):
+                    np.bitwise_or.at(out, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+            return cls(n - 1, out)
         bits = keys.select(F.col("key").bitwiseAND(n - 1).alias("b")).union(keys.select(F.shiftrightunsigned("key", 32).bitwiseAND(n - 1).alias("b")))
         cells = bits.select(F.shiftright("b", 6).alias("i"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("x")).groupBy("i").agg(F.bit_or("x").alias("x")).toArrow()
-        out = np.zeros(n // 64, np.int64)
-        out[np.asarray(cells.column(0).combine_chunks(), np.int64)] = np.asarray(cells.column(1).combine_chunks(), np.int64)
-        return cls(n - 1, out.view(np.uint64))
+        out[np.asarray(cells.column(0).combine_chunks(), np.int64)] = np.asarray(cells.column(1).combine_chunks(), np.int64).view(np.uint64)
+        return cls(n - 1, out)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         k = keys.view(np.uint64)

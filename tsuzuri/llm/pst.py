@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +42,28 @@ DISCOUNT, ALPHA = 0.5, 0.1
 SYMBOLS, CACHE, BLOOM_BITS = 500_000, 6_000_000, 1 << 28
 END = np.uint64(xxhash.xxh64_intdigest(b"\n")).astype(np.int64)  # no word holds white space
 FLUSH = 2_000_000
-
-
-def tokens(text: str) -> np.ndarray:
-    words = text.encode().lower().split()
-    out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
-    out[-1] = END
-    return out
+#: Rows of counts that a task sums at once, and tasks up to which it does; with more, Spark's own aggregation sums, which spills.
+ROWS, TASKS = 2_000_000, 20_000
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, each text's followed by an end, as places in a list of distinct hashes; that list; and where each text begins."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten().cast(pa.binary()).dictionary_encode()
+    known = words.dictionary.to_pylist()
+    hashes = np.append(np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known)).view(np.int64), END)
+    some = np.array([bool(w) for w in known], bool)  # white space at either end leaves empty words
+    i = np.asarray(words.indices, np.int64)
+    real = some[i] if len(i) else np.zeros(0, bool)
+    edges = np.asarray(parts.offsets, np.int64)
+    before = np.concatenate([[0], np.cumsum(real)])[edges - edges[0]]  # real words before each text
+    size = np.diff(before) + 1
+    start = np.cumsum(size) - size
+    out = np.full(int(size.sum()), len(known), np.int32)
+    at = np.ones(len(out), bool)
+    at[start + size - 1] = False
+    out[at] = i[real]
+    return out, hashes, start
 
 
 def joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -58,7 +73,9 @@ def joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def grams(t: np.ndarray, start: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For 1 to ``most`` words before a token: the tokens that have them, the keys of these words, of them without the first but with the token, and of both."""
-    at = np.setdiff1d(np.arange(len(t)), start, assume_unique=True)
+    inner = np.ones(len(t), bool)
+    inner[start] = False
+    at = np.flatnonzero(inner)
     key, ok = key_of(t), np.ones(len(t), bool)
     for _ in range(most):
         at = at[ok[at - 1]]
@@ -106,10 +123,13 @@ class Lookup:
 def arrays(df: DataFrame) -> list[np.ndarray]:
     """The columns of a bounded table."""
     t = df.toArrow()
-    return [np.concatenate([np.asarray(x) for x in c.chunks] or [np.zeros(0, np.int64)]) for c in t.columns]
+    out = [np.concatenate([np.asarray(x) for x in c.chunks] or [np.zeros(0, np.int64)]) for c in t.columns]
+    del t
+    pa.default_memory_pool().release_unused()
+    return out
 
 
-def cut(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` tokens (first column); a longer document stands alone."""
     if batch.num_rows:
         place = np.cumsum(np.diff(np.asarray(batch.column(0).offsets, np.int64))) // most
@@ -144,19 +164,50 @@ def counted(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
+def summed(rows: DataFrame, most: int) -> DataFrame:
+    """(ctx, last, n, key): counts summed for each pair, of those found MIN_ENTRY times. ``most`` bounds the number of rows."""
+    tasks = most // ROWS + 1
+    if tasks > TASKS:
+        rows, tasks = counted(rows, ["ctx", "last"]), 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[np.array(c, np.int64) for c in b.columns] for b in batches]
+        if not held:
+            return
+        ctx, last, n = (np.concatenate(c) for c in zip(*held))
+        key = joined(ctx, last)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        total = np.add.reduceat(n[order], first)
+        at = order[first[total >= MIN_ENTRY]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ctx[at], last[at], total[total >= MIN_ENTRY], key[at])], ["ctx", "last", "n", "key"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(iter([batch]))
+
+    placed = rows.repartition(tasks, "ctx", "last") if tasks else rows
+    return placed.mapInArrow(run if tasks else each, "ctx long, last long, n long, key long")
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        k, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(k[n > 0]), pa.array(n[n > 0])], ["word", "n"])
+
     for batch in batches:
         for piece in C.pieces(batch):
-            held += [tokens(t) for t in C.texts(piece)]
-            size = sum(map(len, held))
+            t, hashes, _ = tokens(piece.column(0))
+            held.append((hashes, np.bincount(t, minlength=len(hashes))))
+            size += len(t)
             if size >= FLUSH:
-                k, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["word", "n"])
-                held = []
+                yield out()
+                held, size = [], 0
     if held:
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["word", "n"])
+        yield out()
 
 
 @dataclass
@@ -213,9 +264,8 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, Words, Model]:
     C.discard(words)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ts = [tokens(t) for t in C.texts(batch)]
-        edges = np.cumsum([0, *map(len, ts)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(shared.value.numbers(np.concatenate(ts))))
+        t, hashes, start = tokens(batch.column(1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(t)).astype(np.int32)), pa.array(shared.value.numbers(hashes)[t]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["doc_id", "held_out", "row_id", "t"])
 
     source = rows.withColumn("row_id", F.monotonically_increasing_id()).select("doc_id", "text", "held_out", "row_id")
@@ -239,27 +289,26 @@ def grow(rows: DataFrame, model: Model, depth: int) -> None:
         keys = C.stored(lower.where(F.col("n") >= MIN_CONTEXT).select("key"))
         if not keys.count():
             break
-        bloom = spark.sparkContext.broadcast(C.Bloom.of(keys, BLOOM_BITS))
+        # what is found MIN_ENTRY times has a context and a suffix that are; nearly all words are
+        suffixes = C.Bloom.of(lower.select("key"), BLOOM_BITS) if level > 1 else None
+        bloom = spark.sparkContext.broadcast((C.Bloom.of(keys, BLOOM_BITS), suffixes))
+        del suffixes
 
         def follow(batches: Iterator[pa.RecordBatch], level: int = level, bloom=bloom) -> Iterator[pa.RecordBatch]:
+            contexts, suffixes = bloom.value
             for lists in blocks(batches):
                 for _, before, last, both in grams(*flat(lists), level):  # noqa: B007
                     pass
-                at = np.flatnonzero(bloom.value.has(before))
+                at = np.flatnonzero(contexts.has(before))
+                if suffixes:
+                    at = at[suffixes.has(last[at])]
                 at = at[np.argsort(both[at])]
                 k = both[at]
                 first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(k)))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[at[first]], last[at[first]], n.astype(np.int64))], ["ctx", "last", "n"])
 
-        pairs = counted(rows.mapInArrow(follow, "ctx long, last long, n long"), ["ctx", "last"]).where(F.col("n") >= MIN_ENTRY)
-
-        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                k = joined(*(np.array(batch.column(i), np.int64) for i in (0, 1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], ["ctx", "last", "n", "key"])
-
-        pairs = C.stored(pairs.mapInArrow(named, "ctx long, last long, n long, key long"))
+        pairs = C.stored(summed(rows.mapInArrow(follow, "ctx long, last long, n long"), total))
         bloom.unpersist()
         C.discard(keys)
         of = lower.where(F.col("n") >= MIN_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("size"))
