@@ -120,8 +120,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"ord": F.coalesce("doc_id", F.lit(-(1 << 63))), "rk": F.xxhash64("text")})
 
 
-def occurrences(rows: DataFrame, spec: Spec) -> DataFrame:
-    """(a, rk, ord, pos, leave, enter): each anchor of each document; ``ord`` is doc_id, a null one before all others."""
+def occurrences(rows: DataFrame, spec: Spec, wanted=None) -> DataFrame:
+    """(a, rk, ord, pos, leave, enter): each anchor of each document; ``ord`` is doc_id, a null one before all others. ``wanted``: a broadcast filter of anchors."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         us = [units(t, spec) for t in C.texts(batch)]
@@ -131,6 +131,9 @@ def occurrences(rows: DataFrame, spec: Spec) -> DataFrame:
         us = [us[i] for i in keep]
         ends = np.cumsum([len(x) for x in us])
         at, x, leave, enter, doc = sample(np.concatenate(us), ends, spec)
+        if wanted is not None:
+            some = wanted.value.has(x)
+            at, x, leave, enter, doc = (c[some] for c in (at, x, leave, enter, doc))
         start = (ends - np.array([len(x) for x in us]))[doc]
         ids, rk = (np.array(batch.column(i), np.int64)[keep][doc] for i in (0, 2))
         cols = [x.view(np.int64), rk, ids, (at - start).astype(np.int64), leave.view(np.int64), enter.view(np.int64)]
@@ -140,13 +143,15 @@ def occurrences(rows: DataFrame, spec: Spec) -> DataFrame:
 
 
 def recurring(rows: DataFrame, spec: Spec) -> DataFrame:
-    """The occurrences of anchors found in two documents or more, with their number ``n``; stored."""
-    occ = occurrences(rows, spec)
-    often = C.stored(occ.groupBy("a").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("a", "n"))
+    """The occurrences of anchors found in two documents or more, with their number ``n``; stored. A filter of these anchors, of bounded size, thins out the second pass."""
+    first = occurrences(rows, spec).select("a", "ord")
+    often = C.stored(first.groupBy("a").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("a", "n"))
     C.release(rows.sparkSession)
     total = often.agg(F.sum("n")).first()[0] or 0
+    wanted = rows.sparkSession.sparkContext.broadcast(C.Bloom.of(often.select(F.col("a").alias("key"))))
+    occ = C.stored(occurrences(rows, spec, wanted))
     out = C.stored(C.join_hot(occ, often, ["a"], "n", max(total, 1)))
-    C.discard(often)
+    C.discard(often, occ)
     return out
 
 
