@@ -156,3 +156,25 @@ def test_no_training_and_empty(spark):
     got = pst.scored(table(spark, rows)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and abs(r["base_score"]) < 1e-9 for r in got) and got
     assert pst.scored(table(spark, [(1, "x")]).where("doc_id = 0")).count() == 0
+
+
+def test_a_large_tree_joins_rare_keys_only(spark, monkeypatch):
+    """Of a tree beyond the cache, frequent keys stay with the tasks, the others are joined in slices, and the scores are the same."""
+    rng = random.Random(6)
+    rows = [(i, markov(rng, 60)) for i in range(200)]
+    tree, _ = brute_tree(rows)
+    keys = len(tree) + sum(len(entries) for _, entries in tree.values())
+    every = sum(tuple(w[i - k : i]) in tree for _, t in rows for w in [words(t)] for i in range(len(w)) for k in range(1, min(i, pst.DEPTH) + 1))
+    opened, write = [], C.stored
+
+    def stored(df, *codec):
+        out = write(df, *codec)
+        if "open" in out.columns:
+            opened.append(out.selectExpr("coalesce(sum(size(open)), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(C, "stored", stored)
+    monkeypatch.setattr(pst, "CACHE", keys // 2)
+    monkeypatch.setattr(pst, "SLICE", 100, raising=False)
+    check_scores(spark, rows)
+    assert 0 < sum(opened) < every / 2
