@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from . import plain
+from . import arrays, plain
 from . import tables as T
 
 FINDING = T_.ArrayType(T_.StructType([T_.StructField("old", T_.StringType()), T_.StructField("new", T_.StringType()), T_.StructField("pos", T_.IntegerType())]))
@@ -144,29 +146,21 @@ def find_hentaigana(c: Column | str, tables: T.Tables | None = None) -> Column:
     return _find_chars(c, (tables or T.defaults()).hentaigana)
 
 
-def _finder(fn, names: tuple[str, ...], kind: T_.ArrayType):
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [dict(zip(names, f)) for f in fn(t)], na_action="ignore")
-
-    return run
-
-
 def find_historical_kana(c: Column | str) -> Column:
-    return _finder(plain.find_historical_kana, ("old", "new", "pos"), FINDING)(_col(c))
+    return arrays.over(partial(arrays.findings, kinds=("kana",)), FINDING, _col(c))
 
 
 def find_katakana_particles(c: Column | str) -> Column:
-    return _finder(plain.find_katakana_particles, ("old", "new", "pos"), FINDING)(_col(c))
+    return arrays.over(partial(arrays.findings, kinds=("particle",)), FINDING, _col(c))
 
 
 def find_normalizations(c: Column | str) -> Column:
-    return _finder(plain.find_normalizations, ("old", "new", "pos"), FINDING)(_col(c))
+    return arrays.over(partial(arrays.findings, kinds=("normal",)), FINDING, _col(c))
 
 
 def find(c: Column | str, tables: T.Tables | None = None) -> Column:
     t = tables or T.defaults()
-    return _finder(lambda s: plain.find(s, t), ("old", "new", "pos", "category"), FINDING_IN)(_col(c))
+    return arrays.over(partial(arrays.findings, kinds=("kana", "particle"), chars=(t.kanji, t.hentaigana), names=("kanji", "hentaigana", "kana", "particle")), FINDING_IN, _col(c))
 
 
 def count_historical_kana(c: Column | str) -> Column:
