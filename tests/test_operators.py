@@ -299,3 +299,25 @@ def test_config(tmp_path):
     with pytest.raises(config.ConfigError):
         config.load(str(p))
     assert config.load(str(tmp_path / "none")).get("chunk.size") == 2000
+
+
+def test_empty_files_and_line_ends(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    for n, t in (("a b.txt", ""), ("c.txt", "x\r\ny\rz"), ("d.txt", "é")):
+        (tmp_path / "in" / n).write_bytes(t.encode())
+    assert [(r["stem"], r["value"]) for r in files.text_files(spark, str(tmp_path / "in"), line_ends=False).collect()] == [("a%20b", ""), ("c", "x\r\ny\rz"), ("d", "é")]
+    assert [r["value"] for r in files.text_files(spark, str(tmp_path / "in")).collect()] == ["", "x\ny\nz", "é"]
+    write(tmp_path / "lib", "a", body="", raw="")
+    write(tmp_path / "lib", "b")
+    assert [tuple(r) for r in files.library(spark, str(tmp_path / "lib")).select("id", "modern", "ocr_raw").orderBy("id").collect()] == [("a", "", ""), ("b", "本文です", "本文")]
+
+
+def test_text_files_of_odd_rows(spark, tmp_path):
+    import hashlib
+
+    from tsuzuri.plans import file_queries
+
+    rows = [(1, "a"), (2, ""), (4, None), (5, "x\r\ny"), (7, "a\rb"), (8, "﻿bom"), (3, "c"), (None, "n"), (10, "\n"), (11, "nul\x00")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, file_queries.text_files(spark, str(tmp_path)).collect()))
+    assert got == sorted((f"d{i}", None if x is None else hashlib.md5(x.encode()).hexdigest()) for i, x in rows if i is not None and i % 3)
