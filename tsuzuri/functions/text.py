@@ -70,12 +70,11 @@ def convert_katakana_particles(c: Column | str) -> Column:
 def convert(c: Column | str, tables: T.Tables | None = None) -> Column:
     """Old forms and variant kana in one pass (their tables share no key and make no chain), then kana and particles."""
     t = tables or T.defaults()
-    return convert_katakana_particles(convert_historical_kana(_translate(_col(c), t.kanji + t.hentaigana)))
+    return arrays.over(partial(arrays.convert, pairs=t.kanji + t.hentaigana), T_.StringType(), _col(c))
 
 
-@F.pandas_udf(T_.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(plain.nfkc, na_action="ignore")
+def nfkc(c: Column | str) -> Column:
+    return arrays.over(arrays.nfkc, T_.StringType(), _col(c))
 
 
 def correct_misreads(c: Column | str) -> Column:
@@ -111,25 +110,16 @@ def split_header(c: Column | str) -> tuple[Column, Column]:
     return F.array_join(F.slice(lines, 1, n), "\n"), F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")
 
 
-def before_width(c: Column, tables: T.Tables | None = None) -> Column:
-    """The one step in Python workers: NFKC, old forms, NFKC."""
-    return nfkc(convert_old_kanji(nfkc(c), tables))
-
-
 def normalize_body(c: Column | str, tables: T.Tables | None = None) -> Column:
-    out = convert_historical_kana(before_width(_col(c), tables))
-    return whitespace(punctuation(convert_katakana_particles(correct_context(correct_misreads(out)))))
+    return arrays.over(partial(arrays.normalize_body, kanji=(tables or T.defaults()).kanji), T_.StringType(), _col(c))
 
 
 def normalize_text(c: Column | str, tables: T.Tables | None = None) -> Column:
-    c = _col(c)
-    header, body = split_header(c)
-    new = normalize_body(body, tables)
-    return F.when(strip(body) == "", c).otherwise(F.when(header != "", F.concat(header, F.lit("\n\n"), new)).otherwise(new))
+    return arrays.over(partial(arrays.normalize_text, kanji=(tables or T.defaults()).kanji), T_.StringType(), _col(c))
 
 
 def normalize_query(c: Column | str, tables: T.Tables | None = None) -> Column:
-    return convert_katakana_particles(convert_historical_kana(before_width(_col(c), tables)))
+    return arrays.over(partial(arrays.normalize_query, kanji=(tables or T.defaults()).kanji), T_.StringType(), _col(c))
 
 
 def _find_chars(c: Column | str, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -164,7 +154,7 @@ def find(c: Column | str, tables: T.Tables | None = None) -> Column:
 
 
 def count_historical_kana(c: Column | str) -> Column:
-    return F.regexp_count(_col(c), F.lit(plain.kana_pattern()))
+    return arrays.over(arrays.kana_count, T_.IntegerType(), _col(c))
 
 
 def count_katakana_particles(c: Column | str) -> Column:

@@ -133,7 +133,7 @@ def postprocess(df: DataFrame, text: str = "value", out: str = "result", normali
 
 
 def change_counts(df: DataFrame, text: str = "value") -> DataFrame:
-    """With n_misread, n_kana and n_particle of the original text; no Python."""
+    """With n_misread, n_kana and n_particle of the original text; kana are counted in Arrow slices."""
     return df.withColumns({"n_misread": X.count_normalizations(text), "n_kana": X.count_historical_kana(text), "n_particle": X.count_katakana_particles(text)})
 
 
